@@ -1,0 +1 @@
+"""Placeholder: the query surface has no streaming operators, so none are built here."""

@@ -5,14 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from heddle.llm.chat import digests, format_conversations, with_probe
 from heddle.llm.common import table
 from heddle.llm.packing import pack
+from heddle.llm.pii import personal_data
+from heddle.llm.quality import quality
+from heddle.llm.secrets import secrets
 from heddle.llm.sharding import shard_documents
 from heddle.llm.simhash import simhash_groups
 from heddle.llm.tokens import token_counts
 from heddle.llm.wumanber import decontaminate
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -21,10 +29,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(format_conversations(with_probe(table(spark, sf_dir, "conversations"), spark)))
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -33,7 +53,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_token_counts, op7_packing, op9_simhash_groups, op10_sharding)}
+_ALL = (
+    op1_personal_data, op2_benchmark_decontamination, op3_token_counts, op5_secrets, op6_quality_rules,
+    op7_packing, op8_chat_format, op9_simhash_groups, op10_sharding,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL where it can express a query; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,166 @@
+"""The operators built of DataFrame functions, against plain Python."""
+
+import collections
+import hashlib
+import re
+
+from heddle.llm import chat, pii, quality, secrets
+from tests.llm.conftest import frame, noise
+
+PII_PIECES = ["a.b@mail.example.com", "x", "@", ".", "..", " ", "-", "1.2.3.4", "256.1.1.1", "00255.1.2.3.4.5.6.7", "4111 1111 1111 1111", "4111111111111112",
+              "+1 (555) 555-1234", "+49", "123", "5", "(", ")", "é", "😀", "\n", "%c@d-e.f", "tel 555-123-4567", "ssn 078-05-1120", "\x0b", "+", "_"]
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + k % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def pii_spans(t):
+    n = lambda v: len(re.sub("[^0-9]", "", v))
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v: all(int(p) <= 255 for p in v.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda v: 13 <= n(v) <= 19 and luhn(re.sub("[^0-9]", "", v))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 9 <= n(v) <= 15),
+    ]
+    return [(k, m.start(), m.end()) for k, p, ok in rules for m in re.finditer(p, t) if ok(m[0])]
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def shown(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def test_personal_data(spark, empty):
+    texts = [None, "", "plain", "mail me at bob@example.com", *noise(PII_PIECES, 250, seed=1), "a" * 30000, "1.1" * 3000, "a@b" + ".c" * 20000, "7" * 20000, " ".join(["x@y.zz"] * 3000)]
+    rows = {r["doc_id"]: r for r in pii.personal_data(frame(spark, texts)).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        want = pii_spans(t or "")
+        assert rows[i]["base_sha256"] == sha(shown(want)), t
+        assert [rows[i][f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in want) for k in pii.KINDS]
+        got = [tuple(x.split(":")) for x in rows[i]["spans"].split(",") if x]
+        assert shown(want) == ",".join(":".join(x) for x in got if x[0] != "other")
+        others = [(int(a), int(b)) for k, a, b in got if k == "other"]
+        assert len(others) == rows[i]["n_other"] and all(b <= x or y <= a for a, b in others for _, x, y in want)
+    assert pii.personal_data(empty).collect() == []
+    twice = pii.personal_data(frame(spark, ["a@b.cc", "a@b.cc"], [1, 1])).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def test_personal_data_model(spark):
+    """The labelers find a number that the base patterns miss, and leave counts alone."""
+    texts = ["call 555-123-4567 now"] * 30 + ["mail a.b@example.com"] * 60 + ["total 1234567 items"] * 60 + ["year 2020 and page 12345678"] * 30
+    rows = pii.personal_data(frame(spark, texts)).collect()
+    found = collections.Counter(r["n_other"] for r in rows if r["doc_id"] < 30)
+    assert found == {1: 30} and not any(r["n_other"] for r in rows if r["doc_id"] >= 30)
+
+
+def test_redaction(spark):
+    texts = ["write a.b@example.com or +1 (555) 555-1234 😀 now", "nothing", None, ""]
+    rows = {r["doc_id"]: r for r in pii.redacted(frame(spark, texts)).collect()}
+    assert rows[0]["text"] == "write <EMAIL> or <PHONE> 😀 now" and rows[0]["failed"] == "x"
+    assert [rows[i]["text"] for i in (1, 2, 3)] == texts[1:]
+
+
+SECRET_PIECES = ["token", "API_KEY", "apikey", "Passwd", "=", ":", " ", '"', "'", "abc", "12345678", "AKIA", "ABCD", "deadbeef", "é", "😀", "\n", "Zx9+/", "Q7wLr2Vt8KpXe4Ns1BhGd6"]
+
+
+def secret_spans(t):
+    out = []
+    for m in re.finditer(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t, re.I | re.A):
+        if len(m[2]) >= 8:
+            out.append((m.start(), 0, "assign", m.end()))
+    for rank, kind, p, least in ((1, "access", "AKIA[A-Z0-9]+", 16), (2, "hex", "[0-9a-f]+", 32)):
+        out += [(m.start(), rank, kind, m.end()) for m in re.finditer(p, t) if len(m[0]) >= least]
+    return [(k, a, b) for a, _, k, b in sorted(out)]
+
+
+def test_secrets(spark, empty):
+    texts = [None, "", "plain words", *noise(SECRET_PIECES, 300, 25, seed=2), "a1" * 20000, "AKIA" * 5000, "token" + " " * 20000]
+    rows = {r["doc_id"]: r for r in secrets.secrets(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = secret_spans(t or "")
+        assert rows[i]["base_sha256"] == sha(shown(want)), t
+        assert [rows[i][f"n_{k}"] for k in secrets.KINDS] == [sum(s[0] == k for s in want) for k in secrets.KINDS]
+    assert secrets.secrets(empty).collect() == []
+
+
+def test_secret_model_held_out(spark):
+    keep, secrets.SAMPLES = secrets.SAMPLES, 300
+    try:
+        random_ones, ordinary = secrets.samples(seed=99)
+    finally:
+        secrets.SAMPLES = keep
+    random_ones = [x for x in random_ones if not re.fullmatch("[0-9a-f]{32,}|[0-9]+|[a-z]+", x) and len(x) >= 20]
+    ordinary = [x for x in ordinary if len(x) >= 20 and re.search("[0-9]", x)]
+    rows = secrets.secrets(frame(spark, random_ones + ordinary)).collect()
+    hit = [r["n_random"] > 0 for r in sorted(rows, key=lambda r: r["doc_id"])]
+    assert sum(hit[: len(random_ones)]) / len(random_ones) > 0.9
+    assert sum(hit[len(random_ones) :]) / max(1, len(ordinary)) < 0.05
+
+
+def measures(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    twice = {w for w, n in collections.Counter(windows).items() if n > 1}
+    hit = {k for i, w in enumerate(windows) if w in twice for k in range(i, i + 5)}
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit))
+
+
+def test_quality(spark, empty):
+    texts = [None, "", " \t\n", "one", *noise(["a", "b", "cc", " ", "  ", "\n", "\t", "\x0b", "#", "<", "é", "😀", "\x85", " "], 250, 120, seed=3), "w " * 50000, "x" * 100000]
+    rows = {r["doc_id"]: r for r in quality.quality(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = measures(t or "")
+        got = tuple(rows[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+        assert got == want, repr(t)
+        failed = want[0] < 10 or 100 * want[4] > 20 * want[0]
+        assert rows[i]["base_failed"] == failed and not (failed and rows[i]["kept"])
+    assert quality.quality(empty).collect() == []
+    kept = quality.kept_rows(frame(spark, texts))
+    assert kept.columns == ["doc_id", "text", "lang", "failed", "words"]
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in rows.items() if r["kept"]}
+
+
+def test_quality_ablations(spark):
+    found = quality.ledger(frame(spark, ["a", "# " * 20, " ".join(map(str, range(30))), None]))
+    got = {r["left_out"]: r["n_kept"] for r in quality.ablations(found).collect()}
+    full = quality.mask("full-1")
+    failed = [r["failed"] for r in found.collect()]
+    names = list(quality.RULES)
+    for rule in (None, *names):
+        m = full & ~(1 << names.index(rule)) if rule else full
+        assert got[rule] == sum(f & m == 0 for f in failed)
+
+
+CHAT_PIECES = ["\\", "#", "### ", "</turn>", "<", "\n", "hi", " ", ":", "n", "\\n", "é😀", "### user:\n", "\n</turn>\n"]
+
+
+def test_chat_round_trip(spark):
+    roles = ["user", "assistant", None, "", "a:b", "x\n", "\\n", "### ", "assistant"]
+    texts = noise(CHAT_PIECES, 400, 12, seed=4)
+    rows = [(k // 5, k % 5, roles[k % len(roles)], None if k % 50 == 7 else t) for k, t in enumerate(texts)] + [(500, 0, "assistant", "b"), (500, 0, "assistant", "a"), (500, None, "user", "z"), (None, 1, "assistant", "q")]
+    table = chat.with_probe(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), spark)
+    found = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(table)).collect()}
+    said = "\\### Assistant: </turn> ok"
+    rows += [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    by = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        by[c].append((-1 if turn is None else turn, role or "", text or ""))
+    assert set(found) == set(by)
+    for c, turns in by.items():
+        turns.sort()
+        loss = "".join(t for _, r, t in turns if r == "assistant")
+        assert found[c]["n_turns"] == len(turns)
+        assert found[c]["turns_sha256"] == sha("".join(f"{r}\n{t}\n" for _, r, t in turns)), turns
+        assert (found[c]["loss_chars"], found[c]["loss_sha256"]) == (len(loss), sha(loss))
+    assert chat.format_conversations(table.limit(0)).collect() == []

@@ -13,6 +13,7 @@ from heddle.llm.quality import quality
 from heddle.llm.secrets import secrets
 from heddle.llm.sharding import shard_documents
 from heddle.llm.simhash import simhash_groups
+from heddle.llm.suffix import remove_repeats
 from heddle.llm.tokens import token_counts
 from heddle.llm.wumanber import decontaminate
 
@@ -29,6 +30,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_personal_data, op2_benchmark_decontamination, op3_token_counts, op5_secrets, op6_quality_rules,
+    op1_personal_data, op2_benchmark_decontamination, op3_token_counts, op4_suffix_dedup, op5_secrets, op6_quality_rules,
     op7_packing, op8_chat_format, op9_simhash_groups, op10_sharding,
 )
 QUERIES = {f.__name__: f for f in _ALL}

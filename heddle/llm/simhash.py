@@ -293,3 +293,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, wor
     total = 64 * words
     most = int(total * p + 2 * np.sqrt(total * p * (1 - p)))
     return groups(docs, size=size, most=most, words=words, bands=bands, bits=bits).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without near-duplicates: of a group the least doc_id stays.
+
+    Of several rows with that doc_id one stays. Rows without a doc_id can't be grouped and stay.
+    """
+    found = written(near_duplicates(docs), "groups")
+    heads = found.where("doc_id = component_id")
+    kept = docs.join(written(heads.select("doc_id").distinct(), "heads"), "doc_id", "left_semi").select(*docs.columns)
+    if heads.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))

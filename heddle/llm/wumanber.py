@@ -200,3 +200,15 @@ def decontaminate(
             )
 
     return id_and_text(docs).mapInArrow(scan, SCHEMA)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no benchmark window; a null text holds none."""
+    blocks = matchers(benchmark, size, "item_id", "text", 256 << 20, 32 << 20)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, text_col, slice_bytes):
+            found = search(utf8(piece.column(text_col)), [b.value for b in blocks])
+            yield piece.filter(pa.array([not f[1] for f in found], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)

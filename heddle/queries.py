@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from pathlib import Path
 from typing import Any
@@ -9,6 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.operators.mutations import Writer, scratch_store
 from heddle.plans.catalog import Catalog, load
 from heddle.plans.policy import Identity, resolve
 from heddle.plans.reader import Branch, Leaf, Reader
@@ -103,7 +105,7 @@ _filter("filter_in_empty", "customer", {"c_custkey": {"_in": []}}, "1 = 0")
 _filter("filter_nin_empty", "customer", {"c_custkey": {"_nin": []}}, "1 = 1")
 _filter("filter_like", "part", {"p_name": {"_like": "%a%e%"}}, "p_name LIKE '%a%e%'")
 _filter("filter_nlike", "part", {"p_type": {"_nlike": "%S%"}}, "p_type NOT LIKE '%S%'")
-_filter("filter_regex", "part", {"p_name": {"_regex": "[2-5].*[0-9]$"}}, "regexp_matches(p_name, '[2-5].*[0-9]$')")
+_filter("filter_regex", "part", {"p_name": {"_regex": "^[a-m].*(ing|olt)$"}}, "regexp_matches(p_name, '^[a-m].*(ing|olt)$')")
 _filter("filter_nregex", "part", {"p_brand": {"_nregex": "[13]$"}}, "NOT regexp_matches(p_brand, '[13]$')")
 _filter(
     "filter_bool_tree", "orders",
@@ -332,6 +334,35 @@ def _rbac_aggregate(r: Reader) -> DataFrame:
     return r.aggregate("orders", [("max", "o_totalprice")])
 
 
+# writes: the table after a write to a copy
+
+
+def _written(name: str, sql: str, tables: tuple[str, ...], write: Callable[[Writer], Any], rules: dict | None = None, claims: dict | None = None) -> None:
+    @query(name, sql, *tables, rules=rules, claims=claims)
+    def plan(r: Reader) -> DataFrame:
+        folder = r.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+        store = scratch_store(r.spark, r, list(tables), folder)
+        r.tables = store
+        write(Writer(r, store))
+        return store(tables[0])
+
+
+_written(
+    "insert_rows", "SELECT * FROM region UNION ALL SELECT 90, 'ATLANTIS' UNION ALL SELECT 91, NULL", ("region",),
+    lambda w: w.insert("region", [{"r_regionkey": 90, "r_name": "ATLANTIS"}, {"r_regionkey": 91}]),
+)
+_written(
+    "update_where", "SELECT p_partkey, p_name, p_brand, p_type, CASE WHEN p_size > 25 AND p_name LIKE '%a%' THEN 99 ELSE p_size END AS p_size, p_retailprice FROM part", ("part",),
+    lambda w: w.update("part", {"p_size": {"_gt": 25}, "p_name": {"_like": "%a%"}}, {"p_size": 99}),
+)
+_written(
+    "update_preset", "SELECT n_nationkey, CASE WHEN n_regionkey = 2 AND n_nationkey < 15 THEN 'forced' ELSE n_name END AS n_name, n_regionkey FROM nation", ("nation",),
+    lambda w: w.update("nation", {"n_nationkey": {"_lt": 15}}, {}),
+    _role(nation={"select": True, "update": {"allow": True, "filter": "n_regionkey = :jwt.region", "presets": {"n_name": "forced"}}}), {"region": 2},
+)
+_written("delete_where", "SELECT * FROM part WHERE NOT coalesce(p_brand LIKE '%1%' OR p_size < 5, false)", ("part",), lambda w: w.delete("part", {"_or": [{"p_brand": {"_like": "%1%"}}, {"p_size": {"_lt": 5}}]}))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

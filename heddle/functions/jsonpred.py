@@ -25,7 +25,7 @@ def _canonical(v: Column) -> Column:
 
 def _equal_scalar(v: Column, value: Any) -> Column:
     if value is None:
-        return F.expr("true") & (F.schema_of_variant(v) == "VOID")
+        return F.schema_of_variant(v) == "VOID"
     if isinstance(value, bool):
         return (F.schema_of_variant(v) == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == F.lit(value))
     if isinstance(value, str):
@@ -42,14 +42,17 @@ def _path(key: str) -> str:
     return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
 
+def _some_contains(v: Column, value: Any) -> Column:
+    return F.exists(_elements(v), lambda e: F.coalesce(_contains(e, value), F.lit(False)))
+
+
 def _contains(v: Column, value: Any) -> Column:
     if isinstance(value, dict):
         tests = [F.coalesce(_contains(F.try_variant_get(v, _path(k), "variant"), x), F.lit(False)) for k, x in value.items()]
         return reduce(and_, tests, F.schema_of_variant(v).startswith("OBJECT"))
     if isinstance(value, list):
         is_list = F.schema_of_variant(v).startswith("ARRAY")
-        tests = [F.coalesce(F.exists(_elements(v), lambda e, x=x: F.coalesce(_contains(e, x), F.lit(False))), F.lit(False)) for x in value]
-        return reduce(and_, tests, is_list)
+        return reduce(and_, [F.coalesce(_some_contains(v, x), F.lit(False)) for x in value], is_list)
     inside = F.exists(_elements(v), lambda e: F.coalesce(_equal_scalar(e, value), F.lit(False)))
     return F.coalesce(_equal_scalar(v, value), F.lit(False)) | (F.schema_of_variant(v).startswith("ARRAY") & F.coalesce(inside, F.lit(False)))
 

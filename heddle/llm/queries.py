@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from heddle.llm import oracle
 from heddle.llm.chat import digests, format_conversations, with_probe
 from heddle.llm.common import table
 from heddle.llm.packing import pack
@@ -65,4 +66,4 @@ _ALL = (
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL where it can express a query; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_benchmark_decontamination": oracle.OP2, "op6_quality_rules": oracle.OP6, "op8_chat_format": oracle.OP8}

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,24 +36,53 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
-    A lost executor then costs the tasks that were running, never the stages before the table.
+    A lost executor then costs the tasks that were running, never the stages before the table. Results
+    may read it, so it stays until clear() or the end of the folder.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.heddle_path = path
+    _tables.append(path)
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _tables.remove(path)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.heddle_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.heddle_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this process has written in between; for jobs whose results are stored."""
+    for path in list(_tables):
+        _delete(spark, path)
+
+
+def in_arrow(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
+    """mapInArrow, with these modules sent to the executors, which need not have the repository."""
+    context = df.sparkSession.sparkContext
+    package = Path(__file__).parent
+    if package.is_dir() and not getattr(context, "_heddle_sent", False):
+        archive = Path(tempfile.mkdtemp(prefix="heddle-")) / "heddle_workers.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for path in (package.parent / "__init__.py", *package.glob("*.py")):
+                z.write(path, path.relative_to(package.parent.parent))
+        context.addPyFile(str(archive))
+        context._heddle_sent = True
+    return df.mapInArrow(function, schema)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

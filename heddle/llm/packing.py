@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from heddle.llm.bpe import encoder
-from heddle.llm.common import id_and_text, slices, strings
+from heddle.llm.common import id_and_text, in_arrow, slices, strings
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -97,4 +97,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
             yield out(rows)
         yield out(list(bins.close()))
 
-    return id_and_text(docs).mapInArrow(fill, SCHEMA)
+    return in_arrow(id_and_text(docs), fill, SCHEMA)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import id_and_text, written
+from heddle.llm.common import id_and_text, in_arrow, written
 
 #: Groups of over 1 / (shards * LARGE) of all bytes are placed on the driver: shards * LARGE groups at most.
 LARGE = 64
@@ -164,7 +164,7 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([0] * len(keys), pa.int32()), pa.array(out, pa.int32())], names=["text_key", "part", "shard"])
 
     schema = "text_key long, part int, shard int"
-    placed = groups.where(F.col("bytes") <= bound).repartition("text_key").mapInArrow(pack, schema)
+    placed = in_arrow(groups.where(F.col("bytes") <= bound).repartition("text_key"), pack, schema)
     if items:
         placed = placed.unionByName(spark.createDataFrame([(k, p, s) for ((k, p), _), s in zip(items, bins, strict=True)], schema))
     placed = written(placed, "placed")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import id_and_text, slices, utf8, written
+from heddle.llm.common import id_and_text, in_arrow, slices, utf8, written
 from heddle.llm.components import components
 
 SEED = 42
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, size: int, words: int = 1, slice_bytes: int =
             found = np.stack([fingerprint(t, size, words) for t in utf8(piece.column("text"))]).view(np.int64)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(found[:, w]) for w in range(words))], names=["doc_id", *names])
 
-    return id_and_text(docs).mapInArrow(scan, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return in_arrow(id_and_text(docs), scan, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -225,8 +225,8 @@ def near_links(prints: DataFrame, keys, most: int, words: int) -> DataFrame:
         for at in range(0, len(pairs), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + (1 << 16), i]) for i in (0, 1)], names=["a", "b"])
 
-    dealt = prints.mapInArrow(deal, "key long, rep long, " + ", ".join(f"{n} long" for n in names))
-    return dealt.repartition("key").mapInArrow(link, "a long, b long")
+    dealt = in_arrow(prints, deal, "key long, rep long, " + ", ".join(f"{n} long" for n in names))
+    return in_arrow(dealt.repartition("key"), link, "a long, b long")
 
 
 def block_keys(blocks: int):

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import written
+from heddle.llm.common import in_arrow, written
 
 K = 64
 PIECE = 1 << 20
@@ -178,7 +178,7 @@ def membership_filter(df: DataFrame, columns: list[str], hashed) -> np.ndarray:
                 values = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), starts)
                 yield pa.RecordBatch.from_arrays([pa.array(word[starts]), pa.array(values.view(np.int64))], names=["word", "bits"])
 
-    rows = df.select(*columns).mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = in_arrow(df.select(*columns), bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
@@ -259,8 +259,8 @@ def repeated_spans(rows: DataFrame, span: int) -> DataFrame:
         for found, _ in _scan(batches, span):
             yield pa.RecordBatch.from_arrays([pa.array(found[c]) for c in names], names=names)
 
-    suffixes = rows.mapInArrow(sampled, RECORD)
-    compared = written(suffixes.repartitionByRange("key", "stretch", "doc", "place").mapInArrow(_compare, "state int, " + RECORD), "suffixes")
+    suffixes = in_arrow(rows, sampled, RECORD)
+    compared = written(in_arrow(suffixes.repartitionByRange("key", "stretch", "doc", "place"), _compare, "state int, " + RECORD), "suffixes")
     # across boundaries: runs at the edges of buckets; their keys are two for each bucket at most
     edge = compared.where("state = 2").drop("state")
     one = F.min(F.struct("doc", "place", "least", "most")).alias("one")
@@ -309,7 +309,8 @@ def repeated_spans(rows: DataFrame, span: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["doc", "start", "end"])
             begin = end
 
-    found = found.unionByName(rows.mapInArrow(fetched, RECORD.replace("stretch long, ", "") + ", content binary").repartition("key").mapInArrow(matched, SPANS))
+    contents = in_arrow(rows, fetched, RECORD.replace("stretch long, ", "") + ", content binary")
+    found = found.unionByName(in_arrow(contents.repartition("key"), matched, SPANS))
     if hot_filter.any():
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for found, buffer in _scan(batches, span):
@@ -324,7 +325,7 @@ def repeated_spans(rows: DataFrame, span: int) -> DataFrame:
                     start = found["place"][row] - found["most"][row] + step
                     yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(found["doc"][row]), pa.array(start)], names=["value", "doc", "start"])
 
-        counted = written(rows.mapInArrow(windows, "value long, doc long, start long"), "windows")
+        counted = written(in_arrow(rows, windows, "value long, doc long, start long"), "windows")
         twice = written(counted.groupBy("value").count().where("count > 1").select("value"), "twice")
         found = found.unionByName(counted.join(twice, "value", "left_semi").select("doc", "start", (F.col("start") + span).alias("end")))
     return found
@@ -372,4 +373,4 @@ def remove_repeats(docs: DataFrame, span: int = 200, id_col: str = "doc_id", tex
                 )
 
     joined = rows.join(spans.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return in_arrow(joined, kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

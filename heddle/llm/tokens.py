@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from heddle.llm.bpe import encoder
-from heddle.llm.common import id_and_text, slices, strings
+from heddle.llm.common import id_and_text, in_arrow, slices, strings
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -37,4 +37,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, slice_b
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return id_and_text(docs).mapInArrow(count, SCHEMA)
+    return in_arrow(id_and_text(docs), count, SCHEMA)

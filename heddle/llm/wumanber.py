@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import id_and_text, slices, utf8
+from heddle.llm.common import id_and_text, in_arrow, slices, utf8
 
 #: Bytes to word bytes: A-Z lower-cased, 0-9, a-z and all non-ASCII bytes as they are, the rest a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -199,7 +199,7 @@ def decontaminate(
                 names=[c.split()[0] for c in SCHEMA.split(", ")],
             )
 
-    return id_and_text(docs).mapInArrow(scan, SCHEMA)
+    return in_arrow(id_and_text(docs), scan, SCHEMA)
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
@@ -211,4 +211,4 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_c
             found = search(utf8(piece.column(text_col)), [b.value for b in blocks])
             yield piece.filter(pa.array([not f[1] for f in found], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return in_arrow(docs, clean, docs.schema)

@@ -283,15 +283,15 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 4, bands: int = 48, bits: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 4, bands: int = 64, bits: int = 16) -> DataFrame:
     """doc_id and component_id; rows whose five-word shingles have a similarity of 0.8 or more are linked.
 
     A Jaccard similarity j of shingle sets is a cosine of 2j / (1 + j), and fingerprint bits differ with
-    probability acos(cosine) / pi; the bound on differing bits allows two standard deviations more.
+    probability acos(cosine) / pi; the bound on differing bits allows two and a half standard deviations more.
     """
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     total = 64 * words
-    most = int(total * p + 2 * np.sqrt(total * p * (1 - p)))
+    most = int(total * p + 2.5 * np.sqrt(total * p * (1 - p)))
     return groups(docs, size=size, most=most, words=words, bands=bands, bits=bits).select("doc_id", "component_id")
 
 

@@ -43,8 +43,8 @@ m AS (
 ),
 f AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-    ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (n_symbols > n_words)::INT
-      + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (word_chars > 100 * n_words)::INT)::INT AS failed
+    ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (5 * n_symbols > n_words)::INT
+      + 8 * (100 * n_dup_lines > 60 * n_lines)::INT + 16 * (word_chars > 100 * n_words)::INT)::INT AS failed
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, failed, base_failed, failed = 0 AS kept FROM f

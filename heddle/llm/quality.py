@@ -19,8 +19,8 @@ WHITE = " \t\n\x0b\f\r"
 RULES = {
     "few_words": lambda: F.col("n_words") < 10,
     "repeated_words": lambda: 100 * F.col("n_repeat_words") > 20 * F.col("n_words"),
-    "symbols": lambda: F.col("n_symbols") > F.col("n_words"),
-    "duplicate_lines": lambda: 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
+    "symbols": lambda: 5 * F.col("n_symbols") > F.col("n_words"),
+    "duplicate_lines": lambda: 100 * F.col("n_dup_lines") > 60 * F.col("n_lines"),
     "long_words": lambda: F.col("word_chars") > 100 * F.col("n_words"),
 }
 #: Versioned policies: the rules that reject a document.

@@ -215,9 +215,15 @@ class Executor:
                 out[item.name] = self.shown(value, item.selection)
         return out
 
+    def _rows(self, df: DataFrame) -> list:
+        """Collect a plan's rows; in debug mode its plan is logged first."""
+        if self.debug:
+            log.info("%s", df._jdf.queryExecution().toString())
+        return df.collect()
+
     def _first(self, df: DataFrame, table: Table, selections: list | None) -> dict[str, Any] | None:
         selection = self.selection(table, selections)
-        found = self.reader.node(df, table.name, selection, True).select("__node").collect()
+        found = self._rows(self.reader.node(df, table.name, selection, True).select("__node"))
         return self.shown(found[0]["__node"], selection) if found else None
 
     def _by_pk(self, f: doc.FieldNode, table: Table) -> Any:
@@ -236,7 +242,7 @@ class Executor:
         wanted = nodes or ({"": []} if any(p.name == "page_info" for p in parts.values()) else {})
         for alias, selection in wanted.items():
             df, size = self.reader.connection(table.name, selection, where, args.get("first"), args.get("after"))
-            found = df.collect()
+            found = self._rows(df)
             n, info = page_info([list(r)[1:] for r in found], size, shape(table.name, where))
             rows[alias] = [self.shown(r["__node"], selection) for r in found[:n]]
         for alias, p in parts.items():
@@ -260,7 +266,7 @@ class Executor:
                 requested += [(p.name, q.name) for q in inner[alias].values() if q.name != "__typename"]
             elif p.name not in ("count", "__typename"):
                 raise doc.DocumentError(f"{table.field}_aggregate has no field {p.name!r}")
-        row = self.reader.aggregate(table.name, requested, where, any(p.name == "count" for p in parts.values())).first()
+        row = self._rows(self.reader.aggregate(table.name, requested, where, any(p.name == "count" for p in parts.values())))[0]
         out: dict[str, Any] = {}
         for alias, p in parts.items():
             if p.name == "count":
@@ -288,7 +294,7 @@ class Executor:
         ties = [F.col(f"`{c}`").alias(f"__tie{i}") for i, c in enumerate(table.primary_key)]
         df = self.reader.node(df, table.name, selection, True).select("__node", "distance", *ties).orderBy("distance", *(f"__tie{i}" for i in range(len(ties))))
         out = []
-        for r in df.collect():
+        for r in self._rows(df):
             item: dict[str, Any] = {}
             for a, p in parts.items():
                 if p.name == "node":

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from heddle.operators.mutations import Writer, scratch_store
 from heddle.plans.catalog import Catalog, load
+from heddle.plans.executor import Executor
 from heddle.plans.policy import Identity, resolve
 from heddle.plans.reader import Branch, Leaf, Reader
 from heddle.sources.parquet import parquet_tables, schemas
@@ -363,6 +364,28 @@ _written(
 _written("delete_where", "SELECT * FROM part WHERE NOT coalesce(p_brand LIKE '%1%' OR p_size < 5, false)", ("part",), lambda w: w.delete("part", {"_or": [{"p_brand": {"_like": "%1%"}}, {"p_size": {"_lt": 5}}]}))
 
 
+_written("insert_one", "SELECT * FROM nation UNION ALL SELECT 70, 'NOWHERE', 3", ("nation", "region"), lambda w: w.insert_one("nation", {"n_nationkey": 70, "n_name": "NOWHERE", "n_regionkey": 3}))
+_written("update_by_pk", "SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN 'NEW' ELSE r_name END AS r_name FROM region", ("region",), lambda w: w.update("region", None, {"r_name": "NEW"}, {"r_regionkey": 1}))
+_written("delete_by_pk", "SELECT * FROM region WHERE r_regionkey <> 2", ("region",), lambda w: w.delete("region", None, {"r_regionkey": 2}))
+
+
+# documents: what a role's API answers, as rows
+
+
+@query(
+    "document_query",
+    """SELECT '_role' AS field, 'role' AS value UNION ALL SELECT 'count', count(*)::VARCHAR FROM customer WHERE c_acctbal < 0
+    UNION ALL SELECT 'orders ' || o_orderkey, c_name FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 5) JOIN customer ON o_custkey = c_custkey""",
+    "orders", "customer",
+)
+def _document(r: Reader) -> DataFrame:
+    text = """query ($n: Int!) { _role customer_aggregate(where: {c_acctbal: {_lt: 0}}) { count } orders_connection(first: $n) { nodes { ...O } } }
+      fragment O on orders { o_orderkey customer { c_name } }"""
+    data = Executor(r).execute(text, {"n": 5})["data"]
+    nodes = [(f"orders {n['o_orderkey']}", n["customer"]["c_name"]) for n in data["orders_connection"]["nodes"]]
+    return r.spark.createDataFrame([("_role", data["_role"]), ("count", str(data["customer_aggregate"]["count"])), *nodes], "field string, value string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

@@ -36,6 +36,7 @@ TABLES = {
         [(i, p, u, f"c{i}", T0) for i, p, u in ((1, 1, 3), (2, 1, 4), (3, 3, 2), (4, 3, 2), (5, 1, 2))],
     ),
     "documents": ("id long, title string, embedding array<float>", [(1, "a", [1.0, 0.0, 0.0]), (2, "b", [0.0, 1.0, 0.0]), (3, "c", None), (4, "zero", [0.0, 0.0, 0.0]), (5, "a2", [2.0, 0.0, 0.0])]),
+    "notes": ("id long, code string, part int, text string", [(1, "a", 1, "x"), (2, "a", 1, "y"), (3, "b", 1, "z"), (4, "a", None, "no part"), (5, "zz", 9, "dangling")]),
     "blobs": ("code string, part int, data binary", [("a", 1, b"\x00\xff"), ("a", 2, None), ("b", 1, b"hi")]),
 }
 
@@ -56,6 +57,7 @@ DECLARED = {
         },
         "documents": {"primary_key": ["id"], "columns": {"embedding": {"dimension": 3}}},
         "blobs": {"primary_key": ["code", "part"]},
+        "notes": {"primary_key": ["id"], "foreign_keys": [{"columns": ["code", "part"], "references": "blobs", "ref_columns": ["code", "part"]}]},
     }
 }
 

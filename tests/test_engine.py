@@ -140,6 +140,27 @@ def test_self_relation_both_ways(shared):
     assert nodes[0]["users"] == [{"id": 2, "users": []}, {"id": 3, "users": [{"id": 4}]}]
 
 
+def test_composite_relation(shared):
+    found = data(shared, "{ notes_connection { nodes { id blobs { code part } } } blobs_connection { nodes { part notes(order_by: {text: desc}) { id } } } }")
+    assert [n["blobs"] for n in found["notes_connection"]["nodes"]] == [{"code": "a", "part": 1}, {"code": "a", "part": 1}, {"code": "b", "part": 1}, None, None]
+    assert [[x["id"] for x in n["notes"]] for n in found["blobs_connection"]["nodes"]] == [[2, 1], [], [3]]
+
+
+def test_accounts(own):
+    from heddle.server import accounts
+    from heddle.server.auth import Verifier
+
+    registry, secret = Registry(), "s" * 32
+    accounts.register(registry, "HS256", secret)
+    text = 'mutation { %s(username: "eve", password: "%s") { token } }'
+    made = data(own, text % ("signup", "long enough"), registry=registry)["signup"]["token"]
+    again = data(own, text % ("signin", "long enough"), registry=registry)["signin"]["token"]
+    assert {Verifier("HS256", secret).claims(t)["sub"] for t in (made, again)} == {5}
+    assert "unknown" in error(own, text % ("signin", "wrong one"), registry=registry)
+    assert "taken" in error(own, text % ("signup", "long enough"), registry=registry)
+    assert "8 characters" in error(own, text % ("signup", "short"), registry=registry)
+
+
 def test_aggregates(shared):
     text = "{ posts_aggregate(where: {id: {_lte: 3}}) { count sum { views rating } s: sum { id } avg { views } min { title rating } max { published_on } __typename } users_aggregate { sum { balance is_active } } }"
     found = data(shared, text)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from pathlib import Path
 from typing import Any
@@ -16,6 +15,7 @@ from heddle.plans.executor import Executor
 from heddle.plans.policy import Identity, resolve
 from heddle.plans.reader import Branch, Leaf, Reader
 from heddle.sources.parquet import parquet_tables, schemas
+from heddle.sources.shared import shared_folder
 
 NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -341,8 +341,7 @@ def _rbac_aggregate(r: Reader) -> DataFrame:
 def _written(name: str, sql: str, tables: tuple[str, ...], write: Callable[[Writer], Any], rules: dict | None = None, claims: dict | None = None) -> None:
     @query(name, sql, *tables, rules=rules, claims=claims)
     def plan(r: Reader) -> DataFrame:
-        folder = r.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-        store = scratch_store(r.spark, r, list(tables), folder)
+        store = scratch_store(r.spark, r, list(tables), shared_folder(r.spark))
         r.tables = store
         write(Writer(r, store))
         return store(tables[0])

@@ -14,32 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heddle.sources.shared import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir.
-
-    Only a local master may go without the setting; a cluster must name the folder, because a
-    machine's own temporary folder would be invisible to the other machines.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="heddle-"))
-    return context.getCheckpointDir()
-
-
 _tables: list[str] = []
 
 
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
     A lost executor then costs the tasks that were running, never the stages before the table. Results
@@ -47,7 +32,7 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.heddle_path = path
     _tables.append(path)
@@ -74,12 +59,12 @@ def clear(spark: SparkSession) -> None:
 def in_arrow(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
     """mapInArrow, with these modules sent to the executors, which need not have the repository."""
     context = df.sparkSession.sparkContext
-    package = Path(__file__).parent
+    package = Path(__file__).parent.parent
     if package.is_dir() and not getattr(context, "_heddle_sent", False):
         archive = Path(tempfile.mkdtemp(prefix="heddle-")) / "heddle_workers.zip"
         with zipfile.ZipFile(archive, "w") as z:
-            for path in (package.parent / "__init__.py", *package.glob("*.py")):
-                z.write(path, path.relative_to(package.parent.parent))
+            for path in package.rglob("*.py"):
+                z.write(path, path.relative_to(package.parent))
         context.addPyFile(str(archive))
         context._heddle_sent = True
     return df.mapInArrow(function, schema)

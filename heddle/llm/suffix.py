@@ -199,7 +199,10 @@ def _scan(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[dict[s
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket: state 0: an equal stretch exists; 1: leads alike, to be compared by windows; 2: at the bucket's edge."""
+    """One bucket. State 0: an equal stretch exists; 1: leads alike, to be compared by windows.
+
+    State 2: a class of equal stretches in a run at the bucket's edge, one row with their number.
+    """
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -218,10 +221,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     (in_class, _), (in_key, classes) = sizes(new_class), sizes(new_key)
     run = np.cumsum(new_key)
     edge = (run == 1) | (run == run[-1])
-    for state, chosen in ((0, ~edge & (in_class > 1)), (1, ~edge & (in_key > 1) & (classes > 1) & new_class), (2, edge)):
-        rows = whole.take(pa.array(order[chosen])) if chosen.any() else whole.slice(0, 0)
-        for b in rows.combine_chunks().to_batches(max_chunksize=1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, state, dtype=np.int32)), *b.columns], names=["state", *b.schema.names])
+    for state, chosen in ((0, in_class > 1), (1, ~edge & (in_key > 1) & (classes > 1) & new_class), (2, edge & new_class)):
+        at = np.flatnonzero(chosen)
+        for begin in range(0, len(at), 1 << 16):
+            part = at[begin : begin + (1 << 16)]
+            rows = whole.take(pa.array(order[part])).combine_chunks()
+            n = rows.num_rows
+            first = [pa.array(np.full(n, state, dtype=np.int32)), pa.array(in_class[part])]
+            yield pa.RecordBatch.from_arrays([*first, *(c.combine_chunks() for c in rows.columns)], names=["state", "n", *rows.schema.names])
 
 
 def _same_windows(key: np.ndarray, doc: np.ndarray, place: np.ndarray, least: np.ndarray, most: np.ndarray, contents: list[bytes], span: int):
@@ -260,13 +267,14 @@ def repeated_spans(rows: DataFrame, span: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found[c]) for c in names], names=names)
 
     suffixes = in_arrow(rows, sampled, RECORD)
-    compared = written(in_arrow(suffixes.repartitionByRange("key", "stretch", "doc", "place"), _compare, "state int, " + RECORD), "suffixes")
+    compared = written(in_arrow(suffixes.repartitionByRange("key", "stretch", "doc", "place"), _compare, "state int, n long, " + RECORD), "suffixes")
     # across boundaries: runs at the edges of buckets; their keys are two for each bucket at most
     edge = compared.where("state = 2").drop("state")
     one = F.min(F.struct("doc", "place", "least", "most")).alias("one")
-    classes = written(edge.groupBy("key", "stretch").agg(F.count("*").alias("n"), one), "edges")
+    classes = written(edge.groupBy("key", "stretch").agg(F.sum("n").alias("total"), one), "edges")
     shared = classes.groupBy("key").agg(F.count("*").alias("n_classes")).where("n_classes > 1").select("key")
-    equal = edge.join(classes.where("n > 1").select("key", "stretch"), ["key", "stretch"], "left_semi")
+    # those alone in their bucket with an equal stretch in another one; the others are in state 0 already
+    equal = edge.where("n = 1").join(classes.where("total > 1").select("key", "stretch"), ["key", "stretch"], "left_semi")
     alike = classes.join(F.broadcast(shared), "key").select("key", "one.*")
     columns = ["key", "doc", "place", "least", "most"]
     alike = written(compared.where("state = 1").select(*columns).unionByName(alike.select(*columns)), "alike")

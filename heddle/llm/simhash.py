@@ -302,7 +302,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     found = written(near_duplicates(docs), "groups")
     heads = found.where("doc_id = component_id")
-    kept = docs.join(written(heads.select("doc_id").distinct(), "heads"), "doc_id", "left_semi").select(*docs.columns)
+    # the heads grow with the documents, so they are never broadcast, however few they are
+    ids = written(heads.select("doc_id").distinct(), "heads").hint("shuffle_hash")
+    kept = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
     if heads.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from heddle.llm.common import in_arrow, written
 
 K = 64
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Stretches of one key that one task compares.
 HOT = 20_000
 #: Bits of a membership filter; its size is fixed, wrong positives cost bytes moved but change no result.

@@ -55,6 +55,19 @@ def test_personal_data(spark, empty):
     assert len(twice) == 2 and twice[0] == twice[1]
 
 
+def test_personal_data_zero_parts(spark):
+    """Parts of an address that are only zeros count as any others do."""
+    pieces = ["10.0.0.1", "127.0.0.1", "0.0.0.0", "1.2.3.00", "000.00.0.256", "0", "00", ".", "1", "255", "256", " ", "x"]
+    texts = ["10.0.0.1", "0.0.0.0", "1.2.3.00", "192.168.0.5", "0.0.0.256", "0" * 4000 + ".0.0.1", "0" * 4000 + "256.0.0.1", *noise(pieces, 200, 12, seed=15)]
+    rows = {r["doc_id"]: r for r in pii.personal_data(frame(spark, texts)).collect()}
+    assert [rows[i]["n_ip"] for i in range(7)] == [1, 1, 1, 1, 0, 1, 0]
+    for i, t in enumerate(texts):
+        want = pii_spans(t)
+        assert rows[i]["base_sha256"] == sha(shown(want)), t
+        assert rows[i]["n_ip"] == sum(s[0] == "ip" for s in want)
+    assert pii.redacted(frame(spark, ["from 10.0.0.1 on"])).first()["text"] == "from <IP> on"
+
+
 def test_personal_data_model(spark):
     """The labelers find a number that the base patterns miss, and leave counts alone."""
     texts = ["call 555-123-4567 now"] * 30 + ["mail a.b@example.com"] * 60 + ["total 1234567 items"] * 60 + ["year 2020 and page 12345678"] * 30

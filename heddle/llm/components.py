@@ -35,7 +35,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         dropped(now)
         now = after
         # at the fixed point each node has one link, to a node that has none
-        state = now.agg(F.count("*").alias("n"), F.sum("b").alias("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        state = now.agg(F.count("*").alias("n"), F.sum(F.col("b").cast("decimal(38,0)")).alias("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = state

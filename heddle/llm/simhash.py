@@ -10,6 +10,7 @@ whole group. A group that lies in the searcher's own component already is skippe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm import jaccard
 from heddle.llm.common import id_and_text, in_arrow, slices, utf8, written
 from heddle.llm.components import components
 
@@ -283,16 +285,22 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 4, bands: int = 64, bits: int = 16) -> DataFrame:
-    """doc_id and component_id; rows whose five-word shingles have a similarity of 0.8 or more are linked.
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id; rows whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-    A Jaccard similarity j of shingle sets is a cosine of 2j / (1 + j), and fingerprint bits differ with
-    probability acos(cosine) / pi; the bound on differing bits allows two and a half standard deviations more.
+    The links are exact but for equal 64-bit hashes: no similar pair is lost and none below the bound links.
+    Groups are transitive. A null text counts as empty; texts without words are copies of each other; repeated
+    rows come back each; a null doc_id is kept and has component null if only such rows are in its group.
     """
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    total = 64 * words
-    most = int(total * p + 2.5 * np.sqrt(total * p * (1 - p)))
-    return groups(docs, size=size, most=most, words=words, bands=bands, bits=bits).select("doc_id", "component_id")
+    bound = Fraction(str(similarity))
+
+    def shingles(data: bytes) -> np.ndarray:
+        return shingle_hashes(data, size)
+
+    rows = written(jaccard.nodes_of(docs, shingles), "nodes")
+    sets = written(jaccard.shared_sets(docs, shingles, bound), "sets")
+    links = jaccard.verified_links(sets, jaccard.prefix_links(sets, bound), bound)
+    return jaccard.grouped(rows, links)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from heddle.llm import packing, sharding, simhash, suffix, tokens, wumanber
+from heddle.llm import jaccard, packing, sharding, simhash, suffix, tokens, wumanber
 from tests.llm.conftest import frame, noise
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -181,6 +181,31 @@ def test_near_duplicate_recall(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(group.values()))
 
 
+def jaccard_groups(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").encode().lower().split() for t in texts)]
+    return brute_components(sets, lambda a, b: 10 * len(a & b) >= 8 * len(a | b))
+
+
+def found_groups(spark, texts):
+    rows = simhash.near_duplicates(frame(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    return [g for _, g in sorted((r["doc_id"], r["component_id"]) for r in rows)]
+
+
+def test_near_duplicates_are_verified(spark):
+    """A text below 0.8 to all others of its family stays apart, however near its fingerprint is."""
+    texts = [None, "", " ", "one", "ONE", *near_copies(16, 250, 14), *near_copies(17, 60, 3)]
+    want = jaccard_groups(texts)
+    assert 40 < len(set(want)) < 250
+    assert found_groups(spark, texts) == want
+
+
+def test_large_group_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    texts = near_copies(18, 200, 12)
+    assert found_groups(spark, texts) == jaccard_groups(texts)
+
+
 def test_sharding(spark, empty):
     texts = [None, "", *noise(PIECES, 3000, 60, 11), *["hot group of copies"] * 1500, *["another group"] * 40]
     rows = sharding.shard_documents(frame(spark, texts)).collect()

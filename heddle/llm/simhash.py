@@ -24,7 +24,6 @@ from heddle.llm.components import components
 
 SEED = 42
 FANOUT = 16
-ONE = np.uint64(1)
 
 
 def shingle_hashes(data: bytes, size: int) -> np.ndarray:
@@ -243,37 +242,18 @@ def block_keys(blocks: int):
     return keys
 
 
-def sampled_keys(words: int, bands: int, bits: int, seed: int = 7):
-    """Bucket keys of randomly drawn bits, for distances at which no block need be equal."""
-    rng = np.random.default_rng(seed)
-    drawn = [np.sort(rng.choice(64 * words, size=bits, replace=False)).tolist() for _ in range(bands)]
+def groups(docs: DataFrame, size: int = 3, most: int = 3) -> DataFrame:
+    """doc_id, f0, component_id of every row; rows link at ``most`` differing bits or fewer.
 
-    def keys(prints: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(prints), bands), dtype=np.uint64)
-        for k, places in enumerate(drawn):
-            for j, p in enumerate(places):
-                out[:, k] |= ((prints[:, p // 64] >> np.uint64(p % 64)) & ONE) << np.uint64(j)
-            out[:, k] |= np.uint64(k << 40)
-        return out.astype(np.int64)
-
-    return keys
-
-
-def groups(docs: DataFrame, size: int = 3, most: int = 3, words: int = 1, bands: int = 0, bits: int = 16) -> DataFrame:
-    """doc_id, f0.., component_id of every row; rows link at ``most`` differing bits or fewer.
-
-    With one 64-bit word and no bands no link is lost: most + 1 blocks serve as keys. With ``bands``
-    keys of ``bits`` sampled bits serve instead, for wide distances over several words; see
-    README.md for the recall. Rows with equal fingerprints are one node, the least doc_id standing for
+    No link is lost: most + 1 blocks serve as keys. Rows with equal fingerprints are one node, the least doc_id standing for
     them, so exact copies never meet in a bucket. A null text counts as empty; texts without words have
     fingerprint zero and link like others; repeated rows come back each; an empty table gives no rows; a
     null doc_id is kept and has component null if it alone has its fingerprint.
     """
-    names = [f"f{w}" for w in range(words)]
-    prints = written(fingerprints(docs, size, words), "prints")
+    names = ["f0"]
+    prints = written(fingerprints(docs, size), "prints")
     nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "nodes")
-    keys = sampled_keys(words, bands, bits) if bands else block_keys(most + 1)
-    found = components(near_links(nodes.where("rep is not null"), keys, most, words))
+    found = components(near_links(nodes.where("rep is not null"), block_keys(most + 1), most, 1))
     named = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
     named = written(named, "named")
     return prints.join(named, names, "left").select("doc_id", *names, "component_id")

@@ -200,6 +200,18 @@ def test_near_duplicates_are_verified(spark):
     assert found_groups(spark, texts) == want
 
 
+def test_near_duplicates_lose_no_pair(spark, monkeypatch):
+    """Isolated pairs at 0.8 exactly, just above and just below it, each alone with its words."""
+    texts = []
+    for k, cut in enumerate([20, 20, 19, 15, 21, 25] * 50):
+        words = [f"p{k}x{i}" for i in range(104)]  # a hundred shingles
+        texts += [" ".join(words), " ".join(words[: 104 - cut])]  # the second has 100 - cut of them
+    want = jaccard_groups(texts)
+    assert sum(a == b for a, b in zip(want[::2], want[1::2], strict=True)) == 200
+    assert found_groups(spark, texts) == want
+    assert simhash.near_duplicates(frame(spark, [])).collect() == []
+
+
 def test_large_group_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     texts = near_copies(18, 200, 12)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 from heddle.llm import chat, pii, quality, secrets
@@ -120,6 +121,19 @@ def test_secret_model_held_out(spark):
     assert sum(hit[len(random_ones) :]) / max(1, len(ordinary)) < 0.05
 
 
+def test_secret_model_short_and_letters(spark):
+    """Short and all-letter random tokens are scored as well; words and identifiers stay."""
+    rng = random.Random(21)
+    letters = secrets.ALPHABET[:52]
+    draw = lambda alphabet, n: ["".join(rng.choices(alphabet, k=n)) for _ in range(100)]
+    found = [draw(secrets.ALPHABET[:62], 12), draw(secrets.ALPHABET[:62], 16), draw(letters, 16), draw(letters, 24)]
+    plain = ["internationalization", "Geschwindigkeit", "getResponseHandler", "MAXIMUM_LENGTH", "user-settings-2024", "------------", "123456789012"]
+    rows = secrets.secrets(frame(spark, [*(t for ts in found for t in ts), *plain])).collect()
+    hit = [n > 0 for _, n in sorted((r["doc_id"], r["n_random"]) for r in rows)]
+    assert all(sum(hit[k * 100 : k * 100 + 100]) >= 75 for k in range(4))
+    assert not any(hit[400:])
+
+
 def measures(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import datetime as dt
+import hashlib
 import json
 from decimal import Decimal
 from functools import reduce
@@ -18,60 +19,52 @@ from heddle.functions.scalars import InputError
 from heddle.plans.catalog import Column
 
 
-def shape(table: str, where: dict[str, Any] | None) -> str:
-    """A mark of what a cursor walks over: the table and the filter, whatever the order of its keys."""
-    text = json.dumps({"t": table, "w": where}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    h = 0xCBF29CE484222325
-    for b in text.encode():
-        h = ((h ^ b) * 0x100000001B3) & (1 << 64) - 1
-    digits = ""
-    while h:
-        h, r = divmod(h, 36)
-        digits = "0123456789abcdefghijklmnopqrstuvwxyz"[r] + digits
-    return digits or "0"
-
-
-def _pack(value: Any) -> list:
-    """A key value with its type, so that it comes back exactly."""
-    if isinstance(value, bool):
-        return ["z", value]
-    if isinstance(value, int):
-        return ["i", str(value)]
-    if isinstance(value, Decimal):
-        return ["n", str(value)]
-    if isinstance(value, float):
-        return ["f", value.hex()]
-    if isinstance(value, dt.datetime):
-        return ["t", value.isoformat()]
-    if isinstance(value, dt.date):
-        return ["d", value.isoformat()]
-    if isinstance(value, bytes | bytearray):
-        return ["b", base64.b64encode(bytes(value)).decode()]
-    return ["s", value]
-
-
-_UNPACK = {
-    "z": bool, "i": int, "n": Decimal, "f": float.fromhex, "t": dt.datetime.fromisoformat,
-    "d": dt.date.fromisoformat, "b": base64.b64decode, "s": str,
-}
-
-
-def encode_cursor(key: list[Any], mark: str) -> str:
-    text = json.dumps({"k": [_pack(v) for v in key], "s": mark}, separators=(",", ":"), ensure_ascii=False)
-    return base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")
-
-
-def decode_cursor(cursor: str, mark: str, arity: int) -> list[Any]:
+#: Cursor layout: this byte, the digest of what the cursor walks over, then the key's values as JSON pairs (type, text).
+LAYOUT = b"\x01"
+DIGEST = 12
+#: Key types by name: how a value becomes text and comes back exactly. The first class that fits is taken.
+_CODECS = {
+    "bool": (bool, lambda v: str(int(v)), lambda t: t == "1"),
+    "int": (int, str, int),
+    "decimal": (Decimal, str, Decimal),
+    "double": (float, float.hex, float.fromhex),
+    "timestamp": (dt.datetime, dt.datetime.isoformat, dt.datetime.fromisoformat),
+    "date": (dt.date, dt.date.isoformat, dt.date.fromisoformat),
+    "binary": ((bytes, bytearray), lambda v: bytes(v).hex(), bytes.fromhex),
+    "string": (object, str, str),
+}
+
+
+def shape(table: str, where: dict[str, Any] | None) -> bytes:
+    """A digest of the walk: the table and the filter, whatever the order of the filter's keys."""
+    return hashlib.blake2b(json.dumps([table, where], sort_keys=True).encode(), digest_size=DIGEST).digest()
+
+
+def encode_cursor(key: list[Any], walk: bytes) -> str:
+    pairs = []
+    for value in key:
+        name = next(n for n, (kind, _, _) in _CODECS.items() if isinstance(value, kind))
+        pairs.append((name, _CODECS[name][1](value)))
+    return base64.urlsafe_b64encode(LAYOUT + walk + json.dumps(pairs).encode()).decode()
+
+
+def decode_cursor(cursor: str, walk: bytes, arity: int) -> list[Any]:
+    """The key behind a cursor of the same walk; a walk's digest is compared before anything is parsed."""
+    try:
+        raw = base64.b64decode(cursor, altchars=b"-_", validate=True)
+    except ValueError:
+        raw = b""
+    head = len(LAYOUT) + DIGEST
+    if not raw.startswith(LAYOUT) or len(raw) < head:
+        raise InputError("not a cursor")
+    if raw[len(LAYOUT) : head] != walk:
+        raise InputError("the cursor belongs to another table or filter")
     try:
-        found = json.loads(base64.b64decode(cursor + "=" * (-len(cursor) % 4), altchars=b"-_", validate=True))
-        key = [_UNPACK[t](v) for t, v in found["k"]]
-        own = found["s"]
-    except Exception:
-        raise InputError("invalid cursor") from None
-    if own != mark:
-        raise InputError("the cursor does not match this table and filter")
+        key = [_CODECS[name][2](text) for name, text in json.loads(raw[head:])]
+    except (ArithmeticError, LookupError, TypeError, ValueError):
+        key = []
     if len(key) != arity:
-        raise InputError("invalid cursor")
+        raise InputError("not a cursor")
     return key
 
 
@@ -100,8 +93,8 @@ def page(rows: DataFrame, key: list[Column], first: int, after: list[Any] | None
     return rows.orderBy(*(F.col(f"`{c.name}`") for c in key)).limit(first + 1)
 
 
-def page_info(keys: list[list[Any]], first: int, mark: str) -> tuple[int, dict[str, Any]]:
+def page_info(keys: list[list[Any]], first: int, walk: bytes) -> tuple[int, dict[str, Any]]:
     """How many of the collected rows belong to the page, and its has_next_page and end_cursor."""
     n = min(len(keys), first)
     more = first > 0 and len(keys) > first
-    return n, {"has_next_page": more, "end_cursor": encode_cursor(keys[n - 1], mark) if n else None}
+    return n, {"has_next_page": more, "end_cursor": encode_cursor(keys[n - 1], walk) if n else None}

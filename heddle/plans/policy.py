@@ -23,20 +23,17 @@ class Identity:
 
 
 def claim(claims: dict[str, Any], path: str) -> Any:
-    """The value at a dotted path; at each level the longest key that fits is taken, so keys may hold dots."""
-    here: Any = claims
+    """The value at a dotted path. Keys may hold dots: of all ways to cut the path, longer first keys come first."""
     parts = path.split(".")
-    while parts:
-        if not isinstance(here, dict):
-            raise AccessError(f"claim {path!r} is missing")
-        for n in range(len(parts), 0, -1):
-            key = ".".join(parts[:n])
-            if key in here:
-                here, parts = here[key], parts[n:]
-                break
-        else:
-            raise AccessError(f"claim {path!r} is missing")
-    return here
+    ways = [(claims, 0)]  # objects reached, each with the number of parts used; the next to try is last
+    while ways:
+        here, used = ways.pop()
+        if used == len(parts):
+            return here
+        if isinstance(here, dict):
+            ends = range(used + 1, len(parts) + 1)
+            ways += [(here[key], end) for end in ends if (key := ".".join(parts[used:end])) in here]
+    raise AccessError(f"claim {path!r} is missing")
 
 
 def scalar(value: Any, path: str) -> Any:

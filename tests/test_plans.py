@@ -62,10 +62,10 @@ def test_exposed():
         load({}, {})
 
 
-CLAIMS = {"sub": "7", "app": {"tenant": {"id": 3}}, "https://x.y/claims": {"role": "r"}, "a.b": 1, "list": [1, "x"], "none": [], "obj": {}, "n": 7.0}
+CLAIMS = {"sub": "7", "app": {"tenant": {"id": 3}}, "https://x.y/claims": {"role": "r"}, "a.b": 1, "list": [1, "x"], "none": [], "obj": {}, "n": 7.0, "p.q": "x", "p": {"q": {"r": 1}, "q.s": {"t": 2}}}
 
 
-@pytest.mark.parametrize(("path", "want"), [("sub", "7"), ("app.tenant.id", 3), ("https://x.y/claims.role", "r"), ("a.b", 1)])
+@pytest.mark.parametrize(("path", "want"), [("sub", "7"), ("app.tenant.id", 3), ("https://x.y/claims.role", "r"), ("a.b", 1), ("p.q.r", 1), ("p.q.s.t", 2), ("p.q", "x")])
 def test_claim(path, want):
     assert policy.claim(CLAIMS, path) == want
 
@@ -114,7 +114,7 @@ def test_cursor(key):
     found = paging.decode_cursor(cursor, mark, 2)
     assert found == key and [type(v) for v in found] == [type(v) for v in key]
     assert cursor == paging.encode_cursor(key, mark)
-    for bad, m, n in ((cursor, "other", 2), (cursor, mark, 3), ("%%%", mark, 2), (cursor[:-5], mark, 2), ("e30", mark, 2)):
+    for bad, m, n in ((cursor, paging.shape("u", None), 2), (cursor, mark, 3), ("%%%", mark, 2), (cursor[:-8], mark, 2), ("e30=", mark, 2), ("", mark, 2)):
         with pytest.raises(scalars.InputError):
             paging.decode_cursor(bad, m, n)
 
@@ -126,9 +126,9 @@ def test_shape():
 
 @pytest.mark.parametrize(("n", "first", "more", "kept"), [(0, 3, False, 0), (3, 3, False, 3), (4, 3, True, 3), (1, 0, False, 0), (2, 3, False, 2), (1, 1, False, 1)])
 def test_page_info(n, first, more, kept):
-    got, info = paging.page_info([[i] for i in range(n)], first, "m")
+    got, info = paging.page_info([[i] for i in range(n)], first, paging.shape("t", None))
     assert got == kept and info["has_next_page"] is more
-    assert info["end_cursor"] == (paging.encode_cursor([kept - 1], "m") if kept else None)
+    assert info["end_cursor"] == (paging.encode_cursor([kept - 1], paging.shape("t", None)) if kept else None)
 
 
 def test_page_size():

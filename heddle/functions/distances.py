@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,33 +12,34 @@ def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
-def _double(x: Column) -> Column:
-    return x.cast("double")
+def _array(target: list[float]) -> Column:
+    return F.array(*(F.lit(float(y)) for y in target)).cast("array<double>")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return _sum(F.zip_with(a, b, lambda x, y: _double(x) * _double(y)))
+def _double(x: Column) -> Column:
+    return x.cast("double")
 
 
-def norm(a: Column) -> Column:
-    return F.sqrt(_sum(F.transform(a, lambda x: _double(x) * _double(x))))
+def dot(a: Column, target: list[float]) -> Column:
+    return _sum(F.zip_with(a, _array(target), lambda x, y: _double(x) * y))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """NULL where either vector is zero."""
-    return F.lit(1.0) - F.try_divide(dot(a, b), norm(a) * norm(b))
+def cosine(a: Column, target: list[float]) -> Column:
+    """NULL where either vector is zero. The target's norm is a constant of the plan."""
+    norm = F.sqrt(_sum(F.transform(a, lambda x: _double(x) * _double(x))))
+    return F.lit(1.0) - F.try_divide(dot(a, target), norm * F.lit(math.sqrt(sum(y * y for y in target))))
 
 
-def l2(a: Column, b: Column) -> Column:
-    return F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (_double(x) - _double(y)) * (_double(x) - _double(y)))))
+def l2(a: Column, target: list[float]) -> Column:
+    return F.sqrt(_sum(F.zip_with(a, _array(target), lambda x, y: (_double(x) - y) * (_double(x) - y))))
 
 
-def l1(a: Column, b: Column) -> Column:
-    return _sum(F.zip_with(a, b, lambda x, y: F.abs(_double(x) - _double(y))))
+def l1(a: Column, target: list[float]) -> Column:
+    return _sum(F.zip_with(a, _array(target), lambda x, y: F.abs(_double(x) - y)))
 
 
-def negative_inner_product(a: Column, b: Column) -> Column:
-    return -dot(a, b)
+def negative_inner_product(a: Column, target: list[float]) -> Column:
+    return -dot(a, target)
 
 
 METRICS = {"COSINE": cosine, "L2": l2, "L1": l1, "INNER_PRODUCT": negative_inner_product}

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 from typing import Any
@@ -19,6 +20,11 @@ def _guard(doc: Column, test: Column) -> Column:
     return F.when(doc.isNull(), F.lit(None).cast("boolean")).otherwise(F.coalesce(test, F.lit(False)))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _canonical(v: Column) -> Column:
     return F.to_json(v)
 
@@ -48,7 +54,11 @@ def _some_contains(v: Column, value: Any) -> Column:
 
 def _contains(v: Column, value: Any) -> Column:
     if isinstance(value, dict):
-        tests = [F.coalesce(_contains(F.try_variant_get(v, _path(k), "variant"), x), F.lit(False)) for k, x in value.items()]
+
+        def member(key: str, inner: Any) -> Column:
+            return F.coalesce(_once(F.try_variant_get(v, _path(key), "variant"), lambda found: _contains(found, inner)), F.lit(False))
+
+        tests = [member(k, x) for k, x in value.items()]
         return reduce(and_, tests, F.schema_of_variant(v).startswith("OBJECT"))
     if isinstance(value, list):
         is_list = F.schema_of_variant(v).startswith("ARRAY")
@@ -59,7 +69,7 @@ def _contains(v: Column, value: Any) -> Column:
 
 def contains(doc: Column, value: Any) -> Column:
     """Whether a document contains a candidate: objects by key, lists by element, scalars by value."""
-    return _guard(doc, _contains(F.try_parse_json(doc), value))
+    return _guard(doc, _once(F.try_parse_json(doc), lambda v: _contains(v, value)))
 
 
 def has_key(doc: Column, key: str) -> Column:

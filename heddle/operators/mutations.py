@@ -139,9 +139,9 @@ class Writer:
     def _matching(self, name: str, rule: Operation, where: dict[str, Any] | None, key: dict[str, Any] | None) -> DataFrame:
         """All rows of the table with ``__hit`` and ``__file``: hit are those the rule's filter and the request choose."""
         table = self.reader.catalog[name]
-        rows = self.store(name).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")) if self.store.files(name) else None
+        rows = self.store(name).select("*", F.col("_metadata.file_path").alias("__file")) if self.store.files(name) else None
         if rows is None:
-            return self.store(name).withColumns({"__file": F.lit(""), "__row": F.lit(0).cast("long"), "__hit": F.lit(False)})
+            return self.store(name).withColumns({"__file": F.lit(""), "__hit": F.lit(False)})
         test: SparkColumn = F.lit(True)
         found = predicates.where(self.reader.fields(name) if where else {}, where)
         if found is not None:
@@ -151,8 +151,8 @@ class Writer:
             test = test & (F.col(f"`{c.name}`") == F.lit(parse(c, v)).cast(c.dtype))
         if rule.filter is None:
             return rows.withColumn("__hit", F.coalesce(test, F.lit(False)))
-        allowed = self.reader.restricted(rows, rule.filter).where(test).select("__file", "__row", F.lit(True).alias("__in"))
-        return rows.join(allowed, ["__file", "__row"], "left").withColumn("__hit", F.coalesce("__in", F.lit(False))).drop("__in")
+        rows = self.reader.marked(rows, rule.filter, "__in")
+        return rows.withColumn("__hit", F.coalesce(test & F.col("__in"), F.lit(False))).drop("__in")
 
     def _rewrite(self, name: str, operation: str, rule: Operation, event: MutationEvent, where, key, changes: dict[str, SparkColumn] | None) -> int:
         schema = self.store.schema(name)
@@ -169,8 +169,8 @@ class Writer:
                 else:
                     kept = mine.withColumns({c: F.when(F.col("__hit"), v).otherwise(F.col(f"`{c}`")) for c, v in changes.items()})
                 kept = kept.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields))
-                base = {_path(f): f for f in files}
-                rest = [f for p, f in base.items() if p not in {_path(t) for t in touched}]
+                gone = {_path(t) for t in touched}
+                rest = [f for f in files if _path(f) not in gone]
                 made = self.store.files_of(kept, name)
                 if changes and set(changes) & set(table.primary_key):
                     after = self.store.of_files(name, rest + made)

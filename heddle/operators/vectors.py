@@ -18,7 +18,7 @@ def nearest(rows: DataFrame, column: Column, to: list[float], metric: str, k: in
     if metric not in METRICS:
         raise InputError(f"unknown metric {metric!r}")
     c = F.col(f"`{column.name}`")
-    target = F.array(*(F.lit(float(x)) for x in to)).cast("array<double>")
-    distance = F.when(F.size(c) == len(to), METRICS[metric](c, target))
-    near = rows.where(c.isNotNull()).withColumn("distance", distance).where(F.col("distance").isNotNull())
-    return near.orderBy("distance", *(F.col(f"`{t}`") for t in tie_break)).limit(k)
+    distance = F.when(F.size(c) == len(to), METRICS[metric](c, [float(x) for x in to]))
+    near = rows.where(c.isNotNull()).withColumn("distance", distance).orderBy(F.col("distance").asc_nulls_last(), *(F.col(f"`{t}`") for t in tie_break))
+    # rows without a distance come last, so they are dropped behind the limit: a test before it would compute every distance twice
+    return near.limit(k).where(F.col("distance").isNotNull())

@@ -123,10 +123,16 @@ class Executor:
             if self.writer and "insert" in ops and (can := writable(t, ops["insert"])):
                 must = set(required(t, ops["insert"]))
                 out[f"{n}_insert_input"] = {"kind": "INPUT_OBJECT", "fields": {f: (c.kind + "!" * (f in must), {}) for f, c in can.items()}}
-            if self.writer and "update" in ops:
+            if self.writer and "update" in ops and writable(t, ops["update"]):
                 out[f"{n}_set_input"] = {"kind": "INPUT_OBJECT", "fields": {f: (c.kind, {}) for f, c in writable(t, ops["update"]).items()}}
-        for name in self.roots("mutation"):
-            mutation[name] = ("mutation_response", {})
+        for name, (resolver, bound) in self.roots("mutation").items():
+            if resolver != self._custom:
+                mutation[name] = self._mutation_type(resolver, *bound)
+        for f in self.registry.fields:
+            if not f.roles or r.identity.role in f.roles:
+                (query if f.operation == "query" else mutation)[f.name] = (f.type, f.args)
+                out |= {n: {"kind": "OBJECT", "fields": {k: (v, {}) for k, v in own.items()}} for n, own in f.types.items()}
+                kinds |= {k for x in (f.type, *f.args.values()) if (k := x.strip("[]!")) not in out}
         for k in sorted(kinds):
             out[k] = {"kind": "SCALAR"}
             out[f"{k}_comparison_exp"] = {"kind": "INPUT_OBJECT", "fields": {op: (f"[{k}!]" if op in ("_in", "_nin") else "Boolean" if op == "_is_null" else k, {}) for op in operators(k)}}
@@ -135,6 +141,18 @@ class Executor:
             out["Mutation"] = {"kind": "OBJECT", "fields": mutation}
         return out
 
+    def _mutation_type(self, resolver: Callable, t: Table, verb: str | None = None) -> tuple[str, dict[str, str]]:
+        """What a generated mutation returns and takes."""
+        if resolver == self._insert:
+            return "mutation_response!", {"objects": f"[{t.field}_insert_input!]!"}
+        if resolver == self._insert_one:
+            return t.field, {"object": f"{t.field}_insert_input!"}
+        whole = resolver == self._change
+        args = {"where": f"{t.field}_bool_exp!"} if whole else {t.columns[c].field: f"{t.columns[c].kind}!" for c in t.primary_key}
+        if verb == "update" and (rule := self.reader.access[t.name]["update"]) and writable(t, rule):
+            args["_set"] = f"{t.field}_set_input" + "!" * (not rule.presets)
+        return ("mutation_response!" if whole else t.field), args
+
     # execution -----------------------------------------------------------------------------------------
 
     def execute(self, text: str, variables: dict[str, Any] | None = None, name: str | None = None) -> dict[str, Any]:
@@ -353,7 +371,10 @@ class Executor:
     def _custom(self, f: doc.FieldNode, made: Any) -> Any:
         value = made.resolve(Context(self.reader, self.writer, self.reader.identity), **self._args(f, *f.args))
         if isinstance(value, DataFrame):
-            value = [r.asDict(True) for r in value.limit(self.reader.most_page).collect()]
+            most = self.reader.most_page
+            value = [r.asDict(True) for r in value.limit(most + 1).collect()]
+            if len(value) > most:
+                raise InputError(f"{made.name} has over {most} rows; its resolver must page them")
         return self._pick(f, value)
 
     def _pick(self, f: doc.FieldNode, value: Any) -> Any:

@@ -61,12 +61,22 @@ class Reader:
         """Rows that a row filter of the policy lets through; claims are bound, never spliced into the text."""
         if rule is None:
             return df
+        return self._with_filter(df, rule, "SELECT * FROM {secured} WHERE (%s)")
+
+    def marked(self, df: DataFrame, rule: Filter, name: str) -> DataFrame:
+        """All rows, with whether a row filter lets them through as a column: evaluated in place, without a join to itself."""
+        return self._with_filter(df, rule, f"SELECT *, coalesce((%s), false) AS {name} FROM {{secured}}")
+
+    def _with_filter(self, df: DataFrame, rule: Filter, query: str) -> DataFrame:
+        """Claims are bound as parameters. Tables that the filter's subqueries name are bound as common table expressions,
+        so whatever form a FROM has, names are those of this statement alone and never of the session."""
         sql, args = rule.bind(self.identity.claims)
-        for other in self.catalog.tables:  # subqueries of a filter read the plain tables
-            if re.search(rf"(?i)\b(?:from|join)\s+`?{re.escape(other)}\b", sql):
-                self.tables(other).createOrReplaceTempView(other)
-        text = sql.replace("{", "{{").replace("}", "}}")
-        return self.spark.sql(f"SELECT * FROM {{secured}} WHERE ({text})", args=args or None, secured=df)
+        named = {t: f"t{i}" for i, t in enumerate(self.catalog.tables) if re.search(rf"(?i)(?<![\w$]){re.escape(t)}(?![\w$])", sql)}
+        if not re.search(r"(?i)\bselect\b", sql):
+            named = {}
+        bound = ", ".join(f"`{t}` AS (SELECT * FROM {{{key}}})" for t, key in named.items())
+        text = (f"WITH {bound} " if named else "") + query % sql.replace("{", "{{").replace("}", "}}")
+        return self.spark.sql(text, args=args or None, secured=df, **{key: self.tables(t) for t, key in named.items()})
 
     def rows(self, name: str, where: dict[str, Any] | None = None) -> DataFrame:
         """Rows the identity may read, with all columns: those it may not read serve as join keys only."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -24,12 +25,26 @@ class MutationEvent:
 
 @dataclass(frozen=True)
 class CustomField:
-    """A root field. resolve(context, **args) returns a value, a Row or a DataFrame."""
+    """A root field. resolve(context, **args) returns a value, a Row or a DataFrame.
+
+    type: what introspection shows; ``types`` describes object types that it names (type -> field -> type).
+    Arguments are those of ``resolve``, typed by its annotations.
+    """
 
     name: str
     operation: str
     resolve: Callable[..., Any]
     roles: tuple[str, ...] = ()
+    type: str = "JSON"
+    types: dict[str, dict[str, str]] = field(default_factory=dict)
+
+    @property
+    def args(self) -> dict[str, str]:
+        """Argument -> its type; those without a default are required."""
+        _, *given = inspect.signature(self.resolve).parameters.values()
+        kinds = {"int": "Int", "str": "String", "float": "Float", "bool": "Boolean"}
+        named = (p for p in given if p.kind not in (p.VAR_KEYWORD, p.VAR_POSITIONAL))
+        return {p.name: kinds.get(getattr(p.annotation, "__name__", p.annotation), "JSON") + "!" * (p.default is p.empty) for p in named}
 
 
 @dataclass

@@ -52,8 +52,8 @@ def test_walk(shared):
         if not page["page_info"]["has_next_page"]:
             break
     assert seen == [1, 2, 3, 4]
-    assert "does not match" in error(shared, "query ($a: String) { posts_connection(after: $a, where: {id: {_gt: 1}}) { nodes { id } } }", variables={"a": after})
-    assert error(shared, '{ posts_connection(after: "%%") { nodes { id } } }') == "invalid cursor"
+    assert "belongs to another" in error(shared, "query ($a: String) { posts_connection(after: $a, where: {id: {_gt: 1}}) { nodes { id } } }", variables={"a": after})
+    assert error(shared, '{ posts_connection(after: "%%") { nodes { id } } }') == "not a cursor"
     empty = data(shared, "{ posts_connection(first: 0) { nodes { id } page_info { has_next_page end_cursor } } }")["posts_connection"]
     assert empty == {"nodes": [], "page_info": {"has_next_page": False, "end_cursor": None}}
     assert error(shared, "{ posts_connection(first: -1) { nodes { id } } }") == "first must be >= 0"
@@ -258,6 +258,44 @@ def test_custom_fields(shared):
     assert "no field" in error(shared, "{ top { id } }", role="anonymous", registry=registry)
 
 
+def test_custom_fields_are_not_cut(shared):
+    registry = Registry()
+    registry.custom_field(CustomField("many", "query", lambda ctx, n: ctx.reader.spark.range(n)))
+    assert len(data(shared, "{ many(n: 200) { id } }", registry=registry)["many"]) == 200
+    assert "over 200 rows" in error(shared, "{ many(n: 201) { id } }", registry=registry)
+
+
+def test_introspection_of_roots(shared):
+    """Every root field is described with what its resolver takes and returns."""
+    registry = Registry()
+
+    def top(ctx, n: int, label: str = ""):
+        return [{"id": n}]
+
+    registry.custom_field(CustomField("top", "query", top, type="[top_row!]!", types={"top_row": {"id": "BigInt!"}}))
+    registry.custom_field(CustomField("ping", "mutation", lambda ctx: "pong", type="String!"))
+    text = "{ __schema { queryType { name } types { name kind fields { name type { kind name ofType { kind name ofType { kind name ofType { name } } } } args { name type { kind name ofType { name kind } } } } } } }"
+    found = data(shared, text, registry=registry)["__schema"]["types"]
+    types = {t["name"]: t for t in found}
+
+    def spelled(t):
+        return {"NON_NULL": lambda: spelled(t["ofType"]) + "!", "LIST": lambda: f"[{spelled(t['ofType'])}]"}.get(t.get("kind"), lambda: t["name"])()
+
+    fields = {n: {f["name"]: (f, {a["name"]: a for a in f["args"]}) for f in types[n]["fields"]} for n in ("Query", "Mutation")}
+    e = blog.executor(shared, registry=registry)
+    assert set(fields["Query"]) == set(e.roots("query")) - {"__schema", "__type"}
+    assert set(fields["Mutation"]) == set(e.roots("mutation"))
+    one, args = fields["Mutation"]["insert_posts_one"]
+    assert spelled(one["type"]) == "posts" and list(args) == ["object"] and args["object"]["type"]["ofType"]["name"] == "posts_insert_input"
+    assert spelled(fields["Mutation"]["insert_posts"][0]["type"]) == "mutation_response!"
+    assert set(fields["Mutation"]["update_posts_by_pk"][1]) == {"id", "_set"} and set(fields["Mutation"]["delete_posts"][1]) == {"where"}
+    top_field, args = fields["Query"]["top"]
+    assert spelled(top_field["type"]["ofType"]) == "[top_row!]" and args["n"]["type"]["kind"] == "NON_NULL" and args["label"]["type"]["name"] == "String"
+    assert spelled(fields["Mutation"]["ping"][0]["type"]) == "String!" and not fields["Mutation"]["ping"][1]
+    named = {spelled(f["type"]).strip("[]!") for t in found for f in t["fields"] or ()}
+    assert named - {"None"} <= set(types)
+
+
 def test_documents(shared):
     text = """query Q($id: BigInt = 1, $skip: Boolean!) { p: posts_by_pk(id: $id) { ...F title @skip(if: $skip) ... on posts { views } } } fragment F on posts { id }"""
     assert data(shared, text, variables={"skip": True}) == {"p": {"id": 1, "views": 10}}

@@ -3,11 +3,15 @@
 A text splits into pre-tokens. Pre-tokens not met before are held as one ragged numpy array and
 merged in rounds: each round finds every sequence's lowest-rank adjacent pair and applies all of
 that pair's non-overlapping occurrences, in all sequences at once. Symbols that survive are the
-tokens. Ids of frequent pre-tokens stay in a bounded table of the worker.
+tokens. Long pre-tokens (base64, unspaced scripts) are held as linked arrays instead, with places listed by
+the rank of their pair: a round takes the least rank that any of them has, applies it wherever it still
+occurs, and looks again only at the pairs it made, so the work grows with the merges and not with rounds times
+length. Ids of frequent pre-tokens stay in a bounded table of the worker.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -18,6 +22,8 @@ import regex
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose ids a worker keeps; those met later are merged anew each time.
 KEEP = 300_000
+#: Pre-tokens of more bytes are merged over linked arrays and not kept.
+LONG = 192
 NEVER = np.int64(1 << 40)
 
 
@@ -34,11 +40,78 @@ class Merger:
         self.width = np.int64(max(vocabulary.values()) + 1)
         keys = np.array([vocabulary[a] * int(self.width) + vocabulary[b] for a, b in merges], dtype=np.int64)
         made = np.array([vocabulary[a + b] for a, b in merges], dtype=np.int64)
+        self.by_rank, self.made_by_rank = keys, made
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
 
+    def found(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each pair is among the merges, and its rank (NEVER: it isn't)."""
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return at, np.where(self.keys[at] == key, self.rank[at], NEVER)
+
     def ids(self, sequences: list[bytes]) -> list[np.ndarray]:
         """Token ids of each (non-empty) byte sequence."""
+        long = [i for i, s in enumerate(sequences) if len(s) > LONG]
+        if not long:
+            return self.in_rounds(sequences)
+        rest = iter(self.in_rounds([s for s in sequences if len(s) <= LONG]))
+        made = dict(zip(long, self.in_links([sequences[i] for i in long]), strict=True))
+        return [made[i] if i in made else next(rest) for i in range(len(sequences))]
+
+    def in_links(self, sequences: list[bytes]) -> list[np.ndarray]:
+        """As in_rounds; what is done grows with the merges, whatever the sequences' lengths."""
+        ends = np.cumsum(np.fromiter(map(len, sequences), dtype=np.int64, count=len(sequences)) + 1)
+        # one stop (symbol -1) behind each sequence, and one before the first by index -1
+        symbols = np.full(ends[-1] + 1, -1, dtype=np.int64)
+        for s, end in zip(sequences, ends.tolist(), strict=True):
+            symbols[end - 1 - len(s) : end - 1] = self.base[np.frombuffer(s, dtype=np.uint8)]
+        after, before = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def note(places: np.ndarray) -> None:
+            places = places[(symbols[places] >= 0) & (symbols[after[places]] >= 0)]
+            _, rank = self.found(symbols[places] * self.width + symbols[after[places]])
+            known = rank < NEVER
+            places, rank = places[known], rank[known]
+            order = np.argsort(rank, kind="stable")
+            places, rank = places[order], rank[order]
+            cuts = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else []
+            for r, group in zip(rank[cuts].tolist() if len(rank) else [], np.split(places, cuts[1:]) if len(rank) else [], strict=True):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(group)
+
+        note(np.arange(len(symbols) - 1))
+        while ranks:
+            r = heapq.heappop(ranks)
+            hit = np.unique(np.concatenate(waiting.pop(r)))
+            left, right = divmod(int(self.by_rank[r]), int(self.width))
+            hit = hit[symbols[hit] == left]
+            hit = hit[symbols[after[hit]] == right]
+            if left == right and len(hit):  # a run of one symbol: every second place, from the left
+                start = np.flatnonzero(np.r_[True, after[hit[:-1]] != hit[1:]])
+                inner = np.arange(len(hit)) - np.repeat(start, np.diff(np.r_[start, len(hit)]))
+                hit = hit[inner % 2 == 0]
+            if not len(hit):
+                continue
+            gone = after[hit]
+            symbols[hit], symbols[gone] = self.made_by_rank[r], -2
+            after[hit] = after[gone]
+            before[after[hit]] = hit
+            ahead = before[hit]
+            note(np.unique(np.r_[hit, ahead[ahead >= 0]]))
+        out, start = [], 0
+        for end in ends.tolist():
+            own = symbols[start : end - 1]
+            out.append(own[own >= 0].astype("<u4"))
+            start = end
+        return out
+
+    def in_rounds(self, sequences: list[bytes]) -> list[np.ndarray]:
+        """All sequences at once, one round for each merge of the longest; for short ones."""
         if not sequences:
             return []
         lengths = np.fromiter(map(len, sequences), dtype=np.int64, count=len(sequences))
@@ -51,9 +124,7 @@ class Merger:
             key[:-1] = symbols[:-1] * self.width + symbols[1:]
             key[-1] = -1
             key[np.r_[starts[1:] - 1, len(symbols) - 1]] = -1
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            rank = np.where(self.keys[at] == key, self.rank[at], NEVER)
+            at, rank = self.found(key)
             best = np.minimum.reduceat(rank, starts)
             sizes = np.diff(np.r_[starts, len(symbols)])
             over = np.repeat(best == NEVER, sizes)
@@ -113,8 +184,9 @@ class Encoder:
         known.update((p, self.added[p]) for p in fresh if p in self.added)
         known.update(zip(plain, (ids.tobytes() for ids in self.merger.ids([p.encode() for p in plain])), strict=True))
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        if len(known) > KEEP:
-            for p in fresh:
+        full = len(known) > KEEP
+        for p in fresh:
+            if full or len(p) > LONG:
                 del known[p]
         return out
 

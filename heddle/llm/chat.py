@@ -67,18 +67,19 @@ def parsed(formatted: Column) -> Column:
         head = F.regexp_extract(p, r"(?s)^### ((?:\\.|[^\\:]+)*+):\n", 1)
         start = F.length(head) + 6
         text = F.substring(p, start + 1, F.length(p) - start - len(END))
+        # the text is read once: where it holds no escape, it is what stands in the formatted string
         return F.struct(plain_role(head).alias("role"), _plain(text).alias("text"), (at + start).alias("start"), (at + F.length(p) - len(END)).alias("end"))
 
     return let(pieces, lambda ps: let(running(F.transform(ps, F.length)), lambda at: F.transform(ps, lambda p, i: turn(p, F.get(at, i)))))
 
 
 def format_conversations(rows: DataFrame, trained_role: str = "assistant") -> DataFrame:
-    """conv_id, formatted, turns (read back from it) and loss (spans of the trained role's texts) of each conversation.
+    """conv_id, formatted, turns (read back from it) and loss (spans and texts of the trained role) of each conversation.
 
     Rows (conv_id, turn, role, text) are put in order by turn; rows of one turn by role, then text;
     repeated rows are turns of their own. Null roles and texts are empty; a null conv_id is a
     conversation; rows with a null turn come first; an empty table gives no rows; other columns are
-    ignored. A conversation is one string and so lies in one row; different conversations share nothing.
+    ignored; texts and conversations of any length cost in proportion to it. A conversation is one string and so lies in one row; different conversations share nothing.
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("rows"))
@@ -88,14 +89,14 @@ def format_conversations(rows: DataFrame, trained_role: str = "assistant") -> Da
     same = F.when(back == F.col("source"), F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("a formatted conversation does not read back: "), F.col("conv_id").cast("string"))).cast("string"))
     return out.select(
         "conv_id", same.alias("formatted"), back.alias("turns"),
-        F.transform(F.filter("read", lambda t: t["role"] == trained_role), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("loss"),
+        F.transform(F.filter("read", lambda t: t["role"] == trained_role), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["text"].alias("text"))).alias("loss"),
     )
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars; read from the formatted strings."""
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    under_loss = F.array_join(F.transform("loss", lambda s: _plain(F.substring("formatted", s["start"] + 1, s["end"] - s["start"]))), "")
+    under_loss = F.array_join(F.transform("loss", lambda s: s["text"]), "")
     return formatted.withColumn("loss_text", under_loss).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(all_turns.cast("binary"), 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
@@ -106,5 +107,6 @@ def digests(formatted: DataFrame) -> DataFrame:
 def with_probe(conversations: DataFrame, spark: SparkSession) -> DataFrame:
     """The table and conversation -7, whose texts hold an escape and two marks."""
     said = "\\### Assistant: </turn> ok"
-    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = F.array(*(F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role")) for k, role in enumerate(("user", "assistant"))))
+    probe = spark.range(1).select(F.explode(turns).alias("t")).select(F.lit(-7).cast("long").alias("conv_id"), "t.turn", "t.role", F.lit(said).alias("text"))
     return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(probe)

@@ -102,12 +102,12 @@ def ablations(found: DataFrame, policy: str = "full-1") -> DataFrame:
 
     One aggregation over failure bits (2 ** rules rows at most), then bitwise sums over those.
     """
-    spark, full = found.sparkSession, mask(policy)
     names = list(RULES)
-    left_out = spark.createDataFrame([(None, full), *((r, full & ~(1 << names.index(r))) for r in POLICIES[policy])], "left_out string, mask int")
+    masks = {None: mask(policy)} | {r: mask(policy) & ~(1 << names.index(r)) for r in POLICIES[policy]}
     counts = found.groupBy("failed").count()
-    passes = F.when(F.col("failed").bitwiseAND(F.col("mask")) == 0, F.col("count")).otherwise(0)
-    return counts.join(F.broadcast(left_out)).groupBy("left_out").agg(F.sum(passes).alias("n_kept"))
+    kept = [F.coalesce(F.sum(F.when(F.col("failed").bitwiseAND(F.lit(m)) == 0, F.col("count"))), F.lit(0)) for m in masks.values()]
+    each = F.array(*(F.struct(F.lit(r).cast("string").alias("left_out"), k.alias("n_kept")) for r, k in zip(masks, kept, strict=True)))
+    return counts.agg(each.alias("each")).select(F.inline("each"))
 
 
 def quality(docs: DataFrame, policy: str = "full-1") -> DataFrame:

@@ -1,22 +1,24 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Four strict patterns find the base spans. Looser candidates are voted on by labelers: patterns, word
-lists (gazetteers) and context cues, each for, against or silent. Expectation-maximisation over the counts
-of vote patterns estimates the labelers' reliabilities, and its posteriors train the final span
-classifier, a logistic model over shapes and votes, on all distinct candidates of the corpus. Vote
-patterns and shapes are few by construction (3 ** labelers and 2 ** shapes), so the driver fits on counts.
+Four strict patterns find the base spans. Looser candidates (handles, groups of figures, names, addresses,
+codes) are voted on by labelers: formats, word lists (gazetteers) and context cues, each for, against or silent.
+Expectation-maximisation over the counts of vote patterns, kind by kind, estimates the labelers' reliabilities, and its
+posteriors train the final span classifier, a logistic model over kinds, shapes and votes. The base spans need no
+vote and take no part in the fit. Vote patterns and shapes are few by construction (see CODES), so the driver fits
+on counts.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.common import written
-from heddle.llm.native import SPAN, apart_from, digits, let, luhn, named, shown, spans
+from heddle.llm.native import apart_from, blocks_of, cut, digits, first_of_overlapping, let, luhn, named, reached, shown, spans
 
 #: The base patterns. Possessive repeats and the look-behinds keep searches linear and match the same spans.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -26,19 +28,51 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone")
 
-#: Looser candidates: handles and addresses with an at sign, and groups of figures.
-LOOSE_AT = r"(?<![^\s])[^\s@]*+@[^\s@]++"
-LOOSE_NUMBER = r"(?<![0-9A-Za-z.,/+-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+(?![0-9A-Za-z])"
+#: Looser candidates. Bounded repeats and look-behinds keep every search in proportion to the text.
+LOOSE = {
+    "handle": r"(?<![^\s(\[,;:])[^\s@(\[,;:]*+@[^\s@,;)\]]++",
+    "number": r"(?<![0-9][\x20().-]{0,2})(?<![0-9A-Za-z.,/+-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,24}+(?![0-9A-Za-z])",
+    "address": r"(?<![0-9A-Za-z.,/-])[0-9]{1,5}+(?:\x20[A-Z][a-z]++){2,4}+",
+    "name": r"(?<![A-Za-z0-9])(?!(?:Dear|Dr|From|Hello|Hi|Mr|Mrs|Ms|Prof|To|With)\x20)[A-Z][a-z]++(?:\x20(?:[A-Z]\.\x20)?+[A-Z][a-z]++){1,2}+(?![A-Za-z0-9])",
+    "code": r"(?<![A-Za-z0-9])[A-Z]{1,2}+[0-9]{2}(?:\x20?+[0-9A-Z]){4,30}+(?![A-Za-z0-9])",
+}
+EXTRA = tuple(LOOSE)
+#: A cheap necessary condition of a kind's candidates.
+PRESENT = {"handle": "@"}
 CONTEXT = 32
 
 #: Word lists, in natural order.
 MAIL_WORDS = ("com", "edu", "gmail", "hotmail", "mail", "net", "org", "outlook", "proton", "yahoo")
-CUES = ("account", "birth", "call", "cell", "contact", "email", "e-mail", "fax", "handle", "iban", "id", "mail", "mobile", "number", "passport", "phone", "ssn", "tel", "telephone", "whatsapp")
-COUNTS = ("chapter", "eur", "figure", "isbn", "items", "page", "pages", "price", "section", "total", "usd", "version", "year", "years")
-
-#: Labelers in order: each is +1, -1 or 0 (silent) for a candidate c (kind, value, before, after).
-LABELERS = ("strict_pattern", "loose_pattern", "gazetteer", "cue_before", "count_context", "plain_number")
-SHAPES = ("at_sign", "dotted_domain", "plus", "grouped", "long", "nine_digits", "ten_to_eleven", "check_digit", "strict")
+GIVEN = (
+    "Ahmed", "Alice", "Ana", "Andrew", "Anna", "Anne", "Anthony", "Antonio", "Barbara", "Carlos", "Carol", "Charles", "Chen", "Claire", "Daniel", "David", "Elena", "Elizabeth", "Emily", "Emma",
+    "Fatima", "Francisco", "George", "Hans", "Helen", "Ivan", "James", "Jane", "Javier", "Jennifer", "Johannes", "John", "Jose", "Joseph", "Julia", "Karen", "Laura", "Linda", "Louis", "Luis",
+    "Maria", "Marie", "Mark", "Martin", "Mary", "Michael", "Mohammed", "Nancy", "Nicolas", "Olivia", "Patricia", "Paul", "Peter", "Pierre", "Richard", "Robert", "Sandra", "Sarah", "Sofia",
+    "Sophie", "Stefan", "Susan", "Thomas", "Wei", "William",
+)
+STREETS = ("Allee", "Avenue", "Ave", "Boulevard", "Calle", "Court", "Drive", "Lane", "Platz", "Road", "Rue", "Square", "Strasse", "Street", "Way")
+COUNTRIES = ("AT", "BE", "CH", "DE", "ES", "FR", "GB", "IE", "IT", "LU", "NL", "PL", "PT", "SE")
+#: Words that capitalised pairs hold when they are no person's name.
+COMMON = (
+    "After", "And", "April", "At", "August", "Bank", "But", "By", "Central", "City", "College", "Company", "Council", "Court", "December", "Department", "East", "February", "For", "From",
+    "Great", "He", "House", "I", "In", "Institute", "International", "It", "January", "July", "June", "Lake", "March", "May", "Monday", "Mount", "National", "New", "North", "November",
+    "October", "Of", "On", "Park", "Press", "Republic", "River", "Road", "Royal", "San", "Saturday", "School", "September", "She", "South", "State", "States", "Street", "Sunday",
+    "The", "They", "This", "Thursday", "Tuesday", "Union", "United", "University", "War", "We", "Wednesday", "West", "When", "World", "You",
+)
+CUES = (
+    "account", "address", "birth", "call", "called", "cell", "contact", "dear", "dr", "email", "e-mail", "fax", "follow", "handle", "iban", "id", "lives at", "mail", "mobile", "mr", "mrs", "ms", "name",
+    "named", "number", "passport", "patient", "phone", "prof", "resident", "sincerely", "signed", "ssn", "tel", "telephone", "whatsapp",
+)
+COUNTS = ("chapter", "eur", "figure", "isbn", "items", "model", "page", "pages", "part", "price", "section", "serial", "total", "usd", "version", "year", "years")
+
+#: Labelers in order: each is for, against or silent on a candidate (kind, value, before, after).
+LABELERS = ("format", "gazetteer", "cue_before", "cue_after", "count_context", "plain")
+#: Reliabilities that estimation starts from and falls back to: P(against, silent, for) of other candidates and of personal data.
+PRIOR = ((0.25, 0.70, 0.05), (0.05, 0.60, 0.35))
+#: Candidates that the starting reliabilities count for, besides a hundredth of a kind's candidates.
+PRIOR_WEIGHT = 20.0
+SHAPES = ("grouped", "long", "nine_digits", "ten_to_eleven", "check_digit")
+#: Codes that may reach the driver: kinds * 3 ** labelers * 2 ** shapes.
+CODES = len(EXTRA) * 3 ** len(LABELERS) * 2 ** len(SHAPES)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -59,160 +93,218 @@ def _any(value: Column, words: tuple[str, ...]) -> Column:
     return value.rlike(rf"(?i)(?<![a-z])(?:{'|'.join(words)})(?![a-z])")
 
 
-def _votes(strict: bool, at: bool, c: Column) -> list[Column]:
-    def vote(yes: Column | bool, no: Column | bool = False) -> Column:
-        lit = lambda x: F.lit(x) if isinstance(x, bool) else x
-        return F.when(lit(yes), 1).when(lit(no), -1).otherwise(0)
+def _word(value: Column, words: tuple[str, ...]) -> Column:
+    return value.rlike(rf"(?<![A-Za-z])(?:{'|'.join(words)})(?![A-Za-z])")
 
-    value, n = c["value"], F.length(digits(c["value"]))
-    grouped = value.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^\(?0[0-9]{2,4}\)?[ -][0-9]{5,8}$")
-    return [
-        vote(strict, False),
-        vote(value.rlike(r"^@?[A-Za-z0-9_.]+@[A-Za-z0-9_]{2,}"), value.rlike(r"^@$|@[^A-Za-z]")) if at else vote(grouped, ~value.rlike(r"[ ().-]") if not strict else False),
-        vote(_any(value, MAIL_WORDS), False) if at else vote(False),
-        vote(_any(c["before"], CUES)),
-        vote(False, _any(c["before"], COUNTS) | c["after"].rlike(r"^\s?(?:%|[A-Za-z]{0,2}\$|€)")),
-        vote(False) if at else vote(False, (n < 9) & ~grouped) if not strict else vote(False),
-    ]
 
+def iban(value: Column) -> Column:
+    """Whether a code's check digits fit: four characters moved to the end, letters as 10 to 35, remainder 1 by 97."""
+    plain = F.regexp_replace(value, " ", "")
+    figures = F.split(F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4)), "")
 
-def _shapes(strict: bool, at: bool, c: Column) -> list[Column]:
-    value, n = c["value"], F.length(digits(c["value"]))
+    def step(rest: Column, c: Column) -> Column:
+        a = F.ascii(c)
+        return F.when(a >= 65, (rest * 100 + a - 55) % 97).otherwise((rest * 10 + a - 48) % 97)
+
+    return plain.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$") & (F.aggregate(figures, F.lit(0), step) == 1)
+
+
+def _votes(kind: str, c: Column) -> list[Column]:
+    def vote(yes: Column | None = None, no: Column | None = None) -> Column:
+        out = F.lit(0)
+        if no is not None:
+            out = F.when(no, -1).otherwise(out)
+        return out if yes is None else F.when(yes, 1).otherwise(out)
+
+    value, before, after = c["value"], c["before"], c["after"]
+    figures = F.length(digits(value))
+    grouped = value.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^\(?0[0-9]{2,4}\)?[ -][0-9]{5,8}$")
+    formats = {
+        "handle": vote(value.rlike(r"^@[A-Za-z][A-Za-z0-9_.]{2,}$|^[A-Za-z0-9_.+-]+@[A-Za-z0-9_]{2,}"), value.rlike(r"^@$|@[^A-Za-z]|^@[A-Za-z]{1,2}$")),
+        "number": vote(grouped, (figures < 9) | (figures > 15)),
+        "address": vote(_word(value, STREETS)),
+        "name": vote(value.rlike(r" [A-Z]\. ")),
+        "code": vote(iban(value) | value.rlike("^[A-Z]{1,2}[0-9]{6,9}$"), value.rlike("[A-Z]{4}")),
+    }
+    lists = {
+        "handle": vote(_any(value, MAIL_WORDS)),
+        "number": vote(),
+        "address": vote(_word(value, STREETS), _word(value, ("April", "August", "December", "February", "January", "July", "June", "March", "May", "November", "October", "September"))),
+        "name": vote(value.rlike(rf"^(?:{'|'.join(GIVEN)}) "), _word(value, COMMON)),
+        "code": vote(value.rlike(rf"^(?:{'|'.join(COUNTRIES)})[0-9]")),
+    }
+    plain = {
+        "handle": vote(),
+        "number": vote(None, ~value.rlike("[ ().-]")),
+        "address": vote(None, ~_word(value, STREETS)),
+        "name": vote(None, before.rlike(r"(?:^|[.!?:|>*#\n])[\s\"']*$") & ~_any(before, CUES)),
+        "code": vote(),
+    }
+    said = r"^,? (?:said|says|wrote|was born|lives|lived|can be reached)|^'s (?:phone|address|email|number)|^ \((?:age|aged|born)"
     return [
-        F.lit(at), value.rlike(r"@[A-Za-z0-9-]+\.[A-Za-z]{2,}") if at else F.lit(False), value.startswith("+"), value.rlike(r"[0-9][ ().-]+[0-9]"),
-        F.length(value) > 16, n == 9, n.between(10, 11), F.lit(False) if at else (n >= 13) & luhn(value), F.lit(strict),
+        formats[kind], lists[kind], vote(before.rlike(rf"(?i)(?<![a-z])(?:{'|'.join(CUES)})(?![a-z])[^.!?\n]{{0,12}}$")), vote(after.rlike(said), after.rlike(r"^\s?(?:%|[A-Za-z]{0,2}\$|€|(?:kg|km|items|pages|units)\b)")),
+        vote(None, before.rlike(rf"(?i)(?<![a-z])(?:{'|'.join(COUNTS)})(?![a-z])[^.!?\n]{{0,12}}$")), plain[kind],
     ]
 
 
-def _candidates(text: Column, found: Column, strict: bool, at: bool) -> Column:
-    def one(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-        c = F.struct(s["value"].alias("value"), before.alias("before"), F.substring(text, s["end"] + 1, F.lit(4)).alias("after"))
+def _shapes(kind: str, c: Column) -> list[Column]:
+    value, n = c["value"], F.length(digits(c["value"]))
+    return [value.rlike(r"[0-9][ ().-]+[0-9]"), F.length(value) > 16, n == 9, n.between(10, 11), (n >= 13) & luhn(value) if kind == "number" else F.lit(False)]
+
 
-        def coded(c: Column) -> Column:
-            votes, shapes = F.lit(0), F.lit(0)
-            for k, v in enumerate(_votes(strict, at, c)):
-                votes = votes + (v + 1) * 3**k
-            for k, v in enumerate(_shapes(strict, at, c)):
-                shapes = shapes + F.when(v, 1 << k).otherwise(0)
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), votes.cast("int").alias("votes"), shapes.cast("int").alias("shapes"))
+def _candidates(kind: str, found: Column) -> Column:
+    """start, end, kind and one code of each candidate: kind, votes and shapes as the digits of a number."""
 
-        return let(c, coded)
+    def one(c: Column) -> Column:
+        code = F.lit(EXTRA.index(kind))
+        for v in _votes(kind, c):
+            code = code * 3 + v + 1
+        for s in _shapes(kind, c):
+            code = code * 2 + F.when(s, 1).otherwise(0)
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(kind).alias("kind"), code.cast("int").alias("code"))
 
     return F.transform(found, one)
 
 
 def evidence(docs: DataFrame, row: Column, text: Column) -> DataFrame:
-    """row, base (kind, start, end: by kind, then start), loose (candidates) and all coded candidates of every row."""
+    """row, base (kind, start, end: by kind, then start) and loose (start, end, kind, code: those apart from base, by start) of every row."""
     rows = docs.select(row.alias("row"), F.coalesce(text, F.lit("")).alias("text"))
-    base = base_spans(F.col("text"))
-    rows = rows.withColumns({f"b_{k}": c for k, c in base.items()})
-    rows = rows.withColumn("base", F.concat(*(named(F.col(f"b_{k}"), k) for k in KINDS)))
-    at = spans(F.col("text"), LOOSE_AT, F.contains("text", F.lit("@")))
-    loose_at, loose_number = (apart_from(x, F.col("base")) for x in (at, spans(F.col("text"), LOOSE_NUMBER)))
-    rows = rows.withColumns({"l_at": loose_at, "l_number": loose_number})
     t = F.col("text")
-    strict = F.concat(_candidates(t, F.col("b_email"), True, True), *(_candidates(t, F.col(f"b_{k}"), True, False) for k in KINDS[1:]))
-    loose = F.concat(_candidates(t, F.col("l_at"), False, True), _candidates(t, F.col("l_number"), False, False))
-    return rows.withColumns({"strict": strict, "loose": loose}).drop(*(f"b_{k}" for k in KINDS), "l_at", "l_number")
+    rows = rows.withColumns({f"b_{k}": c for k, c in base_spans(t).items()})
+    rows = rows.withColumn("base", F.concat(*(named(F.col(f"b_{k}"), k) for k in KINDS)))
+    rows = rows.withColumns({f"l_{k}": spans(t, p, F.contains(t, F.lit(PRESENT[k])) if k in PRESENT else None, CONTEXT) for k, p in LOOSE.items()})
+    rows = rows.withColumns({f"l_{k}": apart_from(F.col(f"l_{k}"), F.col("base")) for k in EXTRA})
+    return rows.withColumn("loose", F.sort_array(F.concat(*(_candidates(k, F.col(f"l_{k}")) for k in EXTRA)))).drop(*(f"b_{k}" for k in KINDS), *(f"l_{k}" for k in EXTRA))
+
+
+def decoded(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind, votes (n x labelers: 0 against, 1 silent, 2 for) and shapes (n x shapes) of codes."""
+    bits = [codes >> k & 1 for k in range(len(SHAPES) - 1, -1, -1)]
+    rest = codes >> len(SHAPES)
+    votes = [rest // 3**k % 3 for k in range(len(LABELERS) - 1, -1, -1)]
+    return rest // 3 ** len(LABELERS), np.stack(votes, axis=1), np.stack(bits, axis=1)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Reliabilities (probability of each vote given the class, by labeler) and the classifier's weights."""
+    """Each kind's share of personal data and reliabilities (class x labeler x vote), and the classifier's weights."""
 
-    prior: float
-    reliability: tuple[tuple[tuple[float, float, float], tuple[float, float, float]], ...]
+    shares: dict[str, float]
+    reliability: dict[str, list]
     bias: float
-    vote_weights: tuple[float, ...]
-    shape_weights: tuple[float, ...]
+    weights: tuple[float, ...]
+
 
+def features(codes: np.ndarray) -> np.ndarray:
+    """Kind (one of), votes (-1, 0, 1) and shapes as numbers."""
+    kind, votes, shapes = decoded(codes)
+    return np.concatenate([kind[:, None] == np.arange(len(EXTRA)), votes - 1, shapes], axis=1).astype(float)
 
-def _vote(code: int, k: int) -> int:
-    return code // 3**k % 3
 
+def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray]:
+    """Share of personal data, reliabilities and the vote patterns' posteriors, labelers taken as independent given the class.
 
-def expectation_maximisation(counts: dict[int, int], rounds: int = 50) -> tuple[float, list, dict[int, float]]:
-    """Class prior, reliabilities and each vote pattern's posterior, labelers taken as independent given the class."""
-    # labelers start as better than chance; the prior is even
-    table = [[[0.25, 0.6, 0.15], [0.15, 0.6, 0.25]] for _ in LABELERS]
-    prior, posterior = 0.5, {}
+    The starting reliabilities stay as pseudo-counts, so that a kind without any personal data is not split in two classes.
+    """
+    weight = PRIOR_WEIGHT + 0.01 * counts.sum()
+    start = np.repeat(np.array(PRIOR)[:, None, :], votes.shape[1], axis=1)
+    table, share, posterior = start.copy(), 0.1, np.zeros(len(counts))
+    hot = votes[:, :, None] == np.arange(3)
     for _ in range(rounds):
-        for code in counts:
-            odds = math.log(prior / (1 - prior))
-            for k in range(len(LABELERS)):
-                v = _vote(code, k)
-                odds += math.log(table[k][1][v] / table[k][0][v])
-            posterior[code] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        total = sum(counts.values())
-        prior = (1 + sum(n * posterior[c] for c, n in counts.items())) / (2 + total)
-        for k in range(len(LABELERS)):
-            sums = [[1.0, 2.0, 0.6], [0.6, 2.0, 1.0]]
-            for c, n in counts.items():
-                sums[1][_vote(c, k)] += n * posterior[c]
-                sums[0][_vote(c, k)] += n * (1 - posterior[c])
-            table[k] = [[x / sum(row) for x in row] for row in sums]
-    return prior, table, posterior
-
-
-def fit(counts: list[tuple[int, int, int]], steps: int = 400, rate: float = 1.0, decay: float = 0.01) -> Model:
-    """A model of (votes, shapes, count) rows. Without any candidate it accepts nothing."""
-    by_votes: dict[int, int] = {}
-    for votes, _, n in counts:
-        by_votes[votes] = by_votes.get(votes, 0) + n
-    prior, table, posterior = expectation_maximisation(by_votes)
-    features = [[_vote(v, k) - 1 for k in range(len(LABELERS))] + [s >> k & 1 for k in range(len(SHAPES))] for v, s, _ in counts]
-    weights, bias, total = [0.0] * (len(LABELERS) + len(SHAPES)), -1.0, sum(n for _, _, n in counts) or 1
+        odds = np.log(share / (1 - share)) + (hot * np.log(table[1] / table[0])).sum(axis=(1, 2))
+        posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        share = (0.1 * PRIOR_WEIGHT + (counts * posterior).sum()) / (PRIOR_WEIGHT + counts.sum())
+        for label, p in enumerate((1 - posterior, posterior)):
+            sums = weight * start[label] + ((counts * p)[:, None, None] * hot).sum(axis=0)
+            table[label] = sums / sums.sum(axis=1, keepdims=True)
+    return float(share), table, posterior
+
+
+def few_votes() -> np.ndarray:
+    """The codes of each kind, without shapes, on which three labelers at most speak."""
+    n = len(LABELERS)
+    some = [v for v in itertools.product((0, 1, 2), repeat=n) if sum(x != 1 for x in v) <= 3]
+    return np.array([(k * 3**n + sum(x * 3 ** (n - 1 - i) for i, x in enumerate(v))) << len(SHAPES) for k in range(len(EXTRA)) for v in some])
+
+
+def fit(counted: list[tuple[int, int]], steps: int = 400, rate: float = 2.0, decay: float = 0.0005) -> Model:
+    """A model of (code, count) rows. Patterns of few votes count as seen once, so that rare ones get their due."""
+    rare = few_votes()
+    codes, counts = (np.array(c, dtype=np.int64) for c in zip(*sorted(counted), strict=True)) if counted else np.empty((2, 0), dtype=np.int64)
+    seen = len(codes)
+    codes, counts = np.r_[codes, rare], np.r_[counts, np.ones(len(rare), dtype=np.int64)]
+    kind, votes, _ = decoded(codes)
+    target, shares, reliability = np.zeros(len(codes)), {}, {}
+    for k, name in enumerate(EXTRA):
+        own = kind == k
+        real = np.where(np.arange(len(codes)) < seen, counts, 0)[own].astype(float)
+        shares[name], table, target[own] = expectation_maximisation(votes[own], real)
+        reliability[name] = table.tolist()
+    x, weights, bias = features(codes), np.zeros(len(EXTRA) + len(LABELERS) + len(SHAPES)), -1.0
+    # a pattern weighs as the root of its count: a frequent one must not drown the rare ones that tell the classes apart
+    weight = np.sqrt(counts)
+    weight = weight / weight.sum()
     for _ in range(steps):
-        slope, slope0 = [0.0] * len(weights), 0.0
-        for x, (votes, _, n) in zip(features, counts, strict=True):
-            z = bias + sum(w * f for w, f in zip(weights, x, strict=True))
-            miss = n * (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - posterior[votes])
-            slope0 += miss
-            for k, f in enumerate(x):
-                slope[k] += miss * f
-        bias -= rate * slope0 / total
-        weights = [w - rate * (g / total + decay * w) for w, g in zip(weights, slope, strict=True)]
-    return Model(prior, tuple(tuple(tuple(r) for r in t) for t in table), bias, tuple(weights[: len(LABELERS)]), tuple(weights[len(LABELERS) :]))
+        miss = weight * (1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30))) - target)
+        weights = weights - rate * (x.T @ miss + decay * weights)
+        bias = bias - rate * miss.sum()
+    return Model(shares, reliability, float(bias), tuple(weights.tolist()))
 
 
 def fit_on(found: DataFrame) -> Model:
-    """Fit on the candidates of all rows: at most 3 ** labelers times 2 ** shapes counts reach the driver."""
-    each = found.select(F.explode(F.concat("strict", "loose")).alias("c")).select("c.votes", "c.shapes")
-    rows = each.groupBy("votes", "shapes").count().collect()
-    return fit(sorted((r["votes"], r["shapes"], r["count"]) for r in rows))
+    """Fit on the candidates of all rows: at most CODES counts reach the driver."""
+    rows = found.select(F.explode("loose.code").alias("code")).groupBy("code").count().collect()
+    return fit([(r["code"], r["count"]) for r in rows])
 
 
 def accepted(loose: Column, model: Model) -> Column:
-    """Loose candidates the classifier takes for personal data, as spans of kind ``other``."""
-
-    def score(c: Column) -> Column:
-        z = F.lit(model.bias)
-        for k, w in enumerate(model.vote_weights):
-            z = z + w * (F.floor(c["votes"] / 3**k) % 3 - 1)
-        for k, w in enumerate(model.shape_weights):
-            z = z + w * F.shiftright(c["shapes"], k).bitwiseAND(F.lit(1))
+    """The candidates that the classifier takes for personal data and for which a labeler speaks; of overlapping ones the first."""
+
+    def score(code: Column) -> Column:
+        z, at = F.lit(model.bias), len(EXTRA)
+        rest = F.shiftright(code, len(SHAPES))
+        for k in range(len(SHAPES)):
+            z = z + model.weights[-1 - k] * F.shiftright(code, k).bitwiseAND(F.lit(1))
+        for k in range(len(LABELERS)):
+            z = z + model.weights[at + len(LABELERS) - 1 - k] * (F.floor(rest / 3**k) % 3 - 1)
+        kind = F.floor(rest / 3 ** len(LABELERS))
+        for k in range(len(EXTRA)):
+            z = z + F.when(kind == k, model.weights[k]).otherwise(0.0)
         return z
 
-    def clear(cs: Column) -> Column:  # of overlapping ones the first
-        return F.filter(cs, lambda c, i: ~F.exists(F.slice(cs, F.lit(1), i), lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"])))
+    def backed(code: Column) -> Column:
+        rest = F.shiftright(code, len(SHAPES))
+        out = F.lit(False)
+        for k in range(len(LABELERS)):
+            out = out | (F.floor(rest / 3**k) % 3 == 2)
+        return out
+
+    return let(F.filter(loose, lambda c: backed(c["code"]) & (score(c["code"]) > 0)), first_of_overlapping)
+
+
+def _spans(found: Column) -> Column:
+    """kind, start, end of accepted candidates, by kind, then start."""
+    return F.concat(*(named(F.filter(found, _is_kind(k)), k) for k in EXTRA))
 
-    taken = F.filter(loose, lambda c: score(c) > 0)
-    return F.when(F.size(loose) > 0, named(F.sort_array(let(taken, clear)), "other")).otherwise(named(F.array().cast(SPAN), "other"))
+
+def _is_kind(kind: str):
+    return lambda s: s["kind"] == kind
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_other of every row.
 
     The text is read once: spans and coded candidates go to a table in the shared folder, on whose
-    counts the model is fitted and from which the result comes. A null text counts as empty; texts
-    without spans have the digest of the empty string and spans ''; repeated rows give a row each; an
-    empty table gives no rows; other columns are ignored.
+    counts the model is fitted and from which the result comes. Added spans follow the base ones, by kind (see
+    LOOSE), then start; n_other counts them. A null text counts as empty; texts without spans have the digest of
+    the empty string and spans ''; texts of any length, and with any number of spans, cost in proportion to
+    it; of overlapping candidates the first is taken, ties by end; repeated rows give a row each; an empty table gives no
+    rows; other columns are ignored.
     """
     found = written(evidence(docs, F.col("doc_id"), F.col("text")).drop("text"), "personal")
     model = fit_on(found)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    rows = found.withColumn("other", accepted(F.col("loose"), model))
+    rows = found.withColumn("other", _spans(accepted(F.col("loose"), model)))
     return rows.select(
         F.col("row").alias("doc_id"), *(count(k) for k in KINDS), F.sha2(shown(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         shown(F.concat("base", "other")).alias("spans"), F.size("other").cast("long").alias("n_other"),
@@ -220,27 +312,37 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with all their columns, each span in the text replaced by its kind in angle brackets."""
+    """The rows of ``docs`` with all their columns, each span in the text replaced by its kind in angle brackets.
+
+    Rows go to a table once, with their evidence, on whose counts the model is fitted. Overlapping spans become one,
+    named by the first (at one place, the longest). Null and empty texts stay as they are; texts of any length cost in proportion to it;
+    repeated rows come back each; an empty table gives no rows; other columns, whatever their names, are kept.
+    """
     columns = docs.columns
     whole = F.struct(*(F.col(f"`{c}`") for c in columns))
-    model = fit_on(written(evidence(docs, F.lit(0), F.col(text_col)).select("strict", "loose"), "personal"))
-    rows = evidence(docs, whole, F.col(text_col))
+    rows = written(evidence(docs, whole, F.col(f"`{text_col}`")).drop("text"), "personal")
+    model = fit_on(rows)
+    text = F.col(f"row.`{text_col}`")
 
     def masked(found: Column) -> Column:
-        def clear(xs: Column) -> Column:  # overlapping spans of different kinds become one
-            return F.filter(xs, lambda x, i: ~F.exists(F.slice(xs, F.lit(1), i), lambda o: o["end"] >= x["end"]))
+        def clear(xs: Column) -> Column:  # of spans within others nothing is left to replace
+            return let(reached(F.transform(xs, lambda x: x["end"])), lambda behind: F.filter(F.transform(xs, lambda x, i: opened(x, F.get(behind, i))), lambda x: x["end"] > x["start"]))
+
+        def opened(x: Column, behind: Column) -> Column:
+            return F.struct(F.greatest(x["start"], behind).alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), (x["start"] < behind).alias("joined"))
 
         def piece(xs: Column) -> Column:
-            def begin(i: Column) -> Column:
-                return F.when(i > 0, F.get(xs, i - 1)["end"]).otherwise(0)
+            def one(x: Column, i: Column) -> Column:
+                begin = F.when(i > 0, F.get(xs, i - 1)["end"]).otherwise(0)
+                return F.concat(cut(F.col("blocks"), begin, x["start"]), F.when(x["joined"], F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))))
 
-            parts = F.transform(xs, lambda x, i: F.concat(F.substring("text", begin(i) + 1, F.greatest(x["start"] - begin(i), F.lit(0))), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
-            last = F.element_at(xs, -1)["end"]
-            return F.concat(F.array_join(parts, ""), F.substring("text", last + 1, F.length("text")))
+            return F.concat(F.array_join(F.transform(xs, one), ""), cut(F.col("blocks"), F.element_at(xs, -1)["end"], F.length(text)))
 
-        by_place = F.sort_array(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        by_place = F.sort_array(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+        by_place = F.transform(by_place, lambda s: F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["kind"].alias("kind")))
         return let(let(by_place, clear), piece)
 
-    rows = rows.withColumn("all", F.concat("base", accepted(F.col("loose"), model)))
-    clean = F.when(F.size("all") > 0, masked(F.col("all"))).otherwise(F.col(f"row.`{text_col}`"))
-    return rows.withColumn("clean", clean).select(*(F.col("clean").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in columns))
+    rows = rows.withColumn("all", F.concat("base", _spans(accepted(F.col("loose"), model))))
+    rows = rows.withColumn("blocks", F.when(F.size("all") > 0, blocks_of(text)).otherwise(F.array().cast("array<string>")))
+    clean = F.when(F.size("all") > 0, masked(F.col("all"))).otherwise(text)
+    return rows.withColumn("clean", clean).select(*(F.col("clean").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns))

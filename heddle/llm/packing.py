@@ -1,13 +1,15 @@
 """Harmonic packing of token sequences.
 
-Lengths fall into reciprocal-capacity classes: a piece of class j has exactly capacity / 2**j ids,
-so a bin of that class takes exactly 2**j pieces. Documents may be cut freely, so each one is cut
-into full sequences and, for the rest, one piece for each binary digit of its length: no class
-wastes space. Every worker fills its own bins, one open bin for each class.
+Lengths fall into reciprocal-capacity classes: class k holds the documents of over capacity / (k + 1) and at
+most capacity / k ids, and a bin of class k takes k of them, whole. What a closed bin has left is filled
+with documents that fit it whole, the tightest place first; only when many bins wait for such ones is a document
+cut, over the largest places. Longer documents are cut into full sequences and a rest that is packed like a document.
+Every worker fills its own bins: one open bin for each class and at most WAITING closed ones.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,44 +26,94 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 #: Sequence ids of one worker; its partition number stands above these bits.
 LOCAL_BITS = 40
+#: Closed bins with room left that a worker holds before it cuts a document to fill them.
+WAITING = 256
 
+Piece = tuple[int | None, int, bytes, int]  # doc_id, start, ids (4 bytes each), the document's ids in all
 
-def lengths(total: int, capacity: int) -> list[int]:
-    """How a document of ``total`` ids is cut."""
-    rest = total % capacity
-    return [capacity] * (total // capacity) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+
+def size(piece: Piece) -> int:
+    return len(piece[2]) >> 2
+
+
+def split(piece: Piece, n: int) -> tuple[Piece, Piece]:
+    doc, start, ids, total = piece
+    return (doc, start, ids[: 4 * n], total), (doc, start + n, ids[4 * n :], total)
 
 
 class Bins:
-    """One worker's bins. Holds at most one open bin for each class (under 2 * capacity pieces)."""
+    """One worker's bins."""
 
     def __init__(self, capacity: int, first: int):
         self.capacity, self.next = capacity, first
-        self.open: dict[int, list[tuple]] = defaultdict(list)
+        self.open: dict[int, list[Piece]] = defaultdict(list)
+        self.waiting: list[tuple[int, int]] = []  # room left and bin number, in order
+        self.held: dict[int, list[Piece]] = {}
+        self.closed = 0
 
-    def emit(self, pieces: list[tuple]) -> Iterator[tuple]:
+    def emit(self, pieces: list[Piece]) -> Iterator[tuple]:
         offset = 0
-        for p in pieces:
-            yield (*p, self.next, offset)
-            offset += p[2]
+        for doc, start, ids, total in pieces:
+            n = len(ids) >> 2
+            yield doc, start, n, zlib.crc32(ids), total, self.next, offset
+            offset += n
         self.next += 1
 
-    def add(self, piece: tuple) -> Iterator[tuple]:
-        held = self.open[piece[2]]
-        held.append(piece)
-        if len(held) * piece[2] == self.capacity:
-            yield from self.emit(held)
-            self.open[piece[2]] = []
+    def settle(self, number: int, pieces: list[Piece], room: int) -> Iterator[tuple]:
+        """A bin with its class's count: it goes out if it is full, or waits for what fits."""
+        if room:
+            self.held[number] = pieces
+            bisect.insort(self.waiting, (room, number))
+        else:
+            yield from self.emit(pieces)
+
+    def into(self, place: int, piece: Piece) -> Iterator[tuple]:
+        room, number = self.waiting.pop(place)
+        yield from self.settle(number, [*self.held.pop(number), piece], room - size(piece))
+
+    def add(self, piece: Piece) -> Iterator[tuple]:
+        n = size(piece)
+        while n >= self.capacity:
+            full, piece = split(piece, self.capacity)
+            yield from self.emit([full])
+            n -= self.capacity
+        if not n:
+            return
+        place = bisect.bisect_left(self.waiting, (n, -1))
+        if place < len(self.waiting):
+            yield from self.into(place, piece)
+            return
+        if len(self.waiting) >= WAITING:
+            while n and self.waiting:  # no place is as large as the piece: the largest take parts of it
+                part, piece = split(piece, min(n, self.waiting[-1][0]))
+                n -= size(part)
+                yield from self.into(len(self.waiting) - 1, part)
+            if not n:
+                return
+        k = self.capacity // n
+        group = self.open[k]
+        group.append(piece)
+        if len(group) == k:
+            del self.open[k]
+            self.closed += 1
+            yield from self.settle(self.closed, group, self.capacity - sum(map(size, group)))
 
     def close(self) -> Iterator[tuple]:
-        """Left pieces, largest first, fill mixed bins exactly; the last bin is dealt into power-of-two sequences."""
-        left = [p for n in sorted(self.open, reverse=True) for p in self.open[n]]
-        total = sum(p[2] for p in left)
-        for room in lengths(total, self.capacity):
+        """What is left, end to end: full bins, and sequences of a power of two of ids for the rest."""
+        left = [p for _, number in self.waiting for p in self.held[number]] + [p for k in sorted(self.open) for p in self.open[k]]
+        total = sum(map(size, left))
+        rest = total % self.capacity
+        rooms = [self.capacity] * (total // self.capacity) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+        left.reverse()
+        for room in rooms:
             group = []
             while room:
-                group.append(left.pop(0))
-                room -= group[-1][2]
+                piece = left.pop()
+                if size(piece) > room:
+                    piece, after = split(piece, room)
+                    left.append(after)
+                group.append(piece)
+                room -= size(piece)
             yield from self.emit(group)
 
 
@@ -71,7 +123,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     A document is its ids and then ``end_id``; a null or empty text is ``end_id`` alone. The
     sequences of a worker are full, but for at most log2(capacity) last ones, which have a power of
     two of ids; none needs padding. Sequence ids hold the worker's partition number, so a task that
-    is run again gives the same rows. No shuffle. Repeated rows are packed each; an empty table
+    is run again gives the same rows. No shuffle. Texts of any length are cut as they come; ties in a
+    place's room go to the bin closed first; repeated rows are packed each; an empty table
     gives no rows; other columns are ignored. ``capacity`` must be a power of two.
     """
     if capacity < 1 or capacity & (capacity - 1):
@@ -90,10 +143,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
             rows: list[tuple] = []
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(strings(part.column("text"))), strict=True):
                 ids += last
-                total, start = len(ids) // 4, 0
-                for n in lengths(total, capacity):
-                    rows += bins.add((doc_id, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), total))
-                    start += n
+                rows += bins.add((doc_id, 0, ids, len(ids) >> 2))
             yield out(rows)
         yield out(list(bins.close()))
 

@@ -62,6 +62,31 @@ def test_packing(spark, empty, library):
         short += at < 1024
     assert short <= 3 * 10
     assert packing.pack(empty, PATH).collect() == []
+    twice = packing.pack(frame(spark, ["same text"] * 2, [1, 1]), PATH).collect()
+    assert sum(r["length"] for r in twice) == sum({r["doc_id"]: 2 * r["doc_tokens"] for r in twice}.values())
+
+
+def test_harmonic_classes(monkeypatch):
+    """Bins hold their class's count of whole documents; few documents are cut, and no sequence is padded."""
+    rng = random.Random(16)
+    for waiting in (256, 4):
+        monkeypatch.setattr(packing, "WAITING", waiting)
+        bins, rows, sizes = packing.Bins(1024, 0), [], []
+        for doc in range(3000):
+            sizes.append(int(rng.paretovariate(0.9) * 20) if doc % 50 else rng.choice([1, 512, 1024, 1025, 5000]))
+            rows += bins.add((doc, 0, bytes(4 * sizes[-1]), sizes[-1]))
+            assert len(bins.waiting) <= waiting + 1 and all(len(g) < k for k, g in bins.open.items())
+        rows += list(bins.close())
+        by_doc, by_sequence = collections.Counter(), collections.Counter()
+        for doc, _, n, _, _, sequence, _ in rows:
+            by_doc[doc] += n
+            by_sequence[sequence] += n
+        assert all(by_doc[d] == n for d, n in enumerate(sizes))
+        assert sum(n < 1024 for n in by_sequence.values()) <= 10 and all(n & (n - 1) == 0 for n in by_sequence.values())
+        pieces = collections.Counter(r[0] for r in rows)
+        short = [d for d, n in enumerate(sizes) if n <= 1024]
+        if waiting == 256:
+            assert sum(pieces[d] for d in short) / len(short) < 1.1
 
 
 WORDS = [*"abcdefgh", "é", "Übung", "X1", "the", "of"]

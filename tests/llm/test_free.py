@@ -262,6 +262,26 @@ def test_sharding(spark, empty):
         homes[texts[r["doc_id"]] or ""].add(r["shard"])
     assert {t for t, s in homes.items() if len(s) > 1} <= {"hot group of copies"}  # larger than a shard's share
     assert sharding.shard_documents(empty).collect() == []
+    twice = sharding.shard_documents(frame(spark, ["same"] * 3 + ["x" * 1_000_000], [1, 1, 1, None])).collect()
+    assert len(twice) == 4 and sorted((r["shard"], r["slot"]) for r in twice) == sorted({(r["shard"], r["slot"]) for r in twice})
+
+
+def test_sharding_by_groups_alone(spark, monkeypatch):
+    """Groups stay whole if asked to, a key of many rows is salted, and tasks and their number change nothing."""
+    monkeypatch.setattr(sharding, "ROWS_IN_CELL", 40)
+    monkeypatch.setattr(sharding, "GROUPS_IN_CELL", 100)
+    texts = [*noise(PIECES, 1500, 60, 11), *[""] * 700, *["hot group of copies"] * 900]
+    found = {}
+    for parts in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        docs = frame(spark, texts).repartition(parts)
+        found[parts] = [sorted(map(tuple, sharding.shard_documents(docs, most_share=m).drop("grown_shard").collect())) for m in (1.0, None)]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[1] == found[5]
+    homes = collections.defaultdict(set)
+    for doc_id, _, _, _, shard, _ in found[1][1]:
+        homes[texts[doc_id]].add(shard)
+    assert all(len(s) == 1 for s in homes.values())
 
 
 def test_best_fit_decreasing():

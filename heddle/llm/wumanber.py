@@ -4,6 +4,10 @@ Patterns are windows of normalised words with a space on either side. For each c
 lengths, a shift table over hashed blocks says how far a cursor may jump; where the jump is zero, the
 block's suffix-hash bucket names the patterns that may end their first m bytes there, and a direct
 comparison with the text confirms. Many cursors, each with its own stretch of the text, move at once.
+
+The benchmark is cut into groups of blocks by the bytes of its patterns. A group is broadcast, which is bounded, and
+searched in one pass over the documents; a benchmark of several groups takes a pass for each, and what a pass has
+found travels with its row to the next one.
 """
 
 from __future__ import annotations
@@ -16,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from heddle.llm.common import id_and_text, in_arrow, slices, utf8
+from heddle.llm.common import id_and_text, in_arrow, slices, utf8, written
 
 #: Bytes to word bytes: A-Z lower-cased, 0-9, a-z and all non-ASCII bytes as they are, the rest a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -128,28 +133,35 @@ class Matcher:
         return (np.array([x for b in both for x in b[i]], dtype=np.int64) for i in (0, 1))
 
 
-def matchers(benchmark: DataFrame, size: int, id_col: str, text_col: str, most_bytes: int, block_bytes: int) -> list:
-    """Broadcast matchers, one for each block of the benchmark; its size is checked before anything is sent."""
-    spark = benchmark.sparkSession
+def groups(benchmark: DataFrame, size: int, id_col: str, text_col: str, most_bytes: int, block_bytes: int) -> Iterator[list[Matcher]]:
+    """Matchers over blocks of the benchmark's patterns, in groups of at most ``most_bytes`` of patterns (one block at least).
+
+    The driver holds one group. A window that items of several blocks share is a pattern of each block.
+    """
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > most_bytes:
-        raise ValueError(f"the benchmark has {total} bytes of text, over the bound of {most_bytes} that may be broadcast")
-    out, owners, held = [], defaultdict(set), 0
+    group, owners, held, in_group = [], defaultdict(set), 0, 0
     for row in items.toLocalIterator():
         for w in windows(words(row["text"].encode()), size):
             held += len(w) if w not in owners else 0
             owners[w].add(row["item"])
         if held > block_bytes:
-            out.append(spark.sparkContext.broadcast(Matcher(owners)))
+            if group and in_group + held > most_bytes:
+                yield group
+                group, in_group = [], 0
+            group.append(Matcher(owners))
+            in_group += held
             owners, held = defaultdict(set), 0
     if owners:
-        out.append(spark.sparkContext.broadcast(Matcher(owners)))
-    return out
+        if group and in_group + held > most_bytes:
+            yield group
+            group = []
+        group.append(Matcher(owners))
+    if group:
+        yield group
 
 
-def search(texts: list[bytes], blocks: list[Matcher]) -> list[tuple[int, int, set[str]]]:
-    """Words, hit words and items of each text."""
+def search(texts: list[bytes], blocks: list[Matcher]) -> list[tuple[int, np.ndarray, set[str]]]:
+    """Words, runs of hit words (first and one past the last of each, in turn) and items of each text."""
     split = [words(t) for t in texts]
     text = b"".join(b"\n " + b" ".join(w) + b" " for w in split)
     counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
@@ -168,47 +180,96 @@ def search(texts: list[bytes], blocks: list[Matcher]) -> list[tuple[int, int, se
             doc = np.searchsorted(first, at, side="right") - 1
             for d, k in np.unique(np.stack([doc, numbers], axis=1), axis=0).tolist():
                 items[d].update(block.items[k])
-    hit = np.r_[0, np.cumsum(np.cumsum(edge) > 0)]
-    return list(zip(counts.tolist(), (hit[first[1:]] - hit[first[:-1]]).tolist(), items, strict=True))
+    turns = np.flatnonzero(np.diff(np.r_[False, np.cumsum(edge) > 0, False]))  # no run crosses texts: a text's last space starts no word
+    cuts = np.searchsorted(turns, first)
+    return [(n, turns[a:b] - at, found) for n, a, b, at, found in zip(counts.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), first[:-1].tolist(), items, strict=True)]
+
+
+def merged(runs: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The union of two lists of runs."""
+    if not len(runs) or not len(more):
+        return more if len(more) else runs
+    places = np.r_[runs, more]
+    step = np.tile([1, -1], len(places) // 2)
+    order = np.lexsort((-step, places))
+    depth = np.cumsum(step[order])
+    opens = (step[order] > 0) & (depth == 1)
+    closes = depth == 0
+    return places[order][opens | closes]
+
+
+def searched(docs: DataFrame, benchmark: DataFrame, size: int, text_col: str, id_col: str, item_text: str, most_bytes: int, block_bytes: int, slice_bytes: int, finish, schema) -> DataFrame:
+    """``finish`` of every batch of ``docs`` and, for each row, its number of words, hit runs and items.
+
+    With one group of the benchmark, as usual, this is one narrow pass. Otherwise rows are written between passes with
+    what was found, in two columns under names of their own.
+    """
+    spark, left = docs.sparkSession, docs
+    runs_col, items_col = (next(n for n in (f"{base}{'_' * k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns) for base in ("__runs", "__items"))
+
+    def scan(blocks, carried: bool, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece in slices(batches, text_col, slice_bytes):
+                found = search(utf8(piece.column(text_col)), blocks.value)
+                if carried:
+                    before = zip(piece.column(runs_col).to_pylist(), piece.column(items_col).to_pylist(), strict=True)
+                    found = [(n, merged(np.array(r, dtype=np.int64), runs), {*i, *own}) for (n, runs, own), (r, i) in zip(found, before, strict=True)]
+                    piece = piece.drop_columns([runs_col, items_col])
+                if last:
+                    yield finish(piece, found)
+                else:
+                    columns = [*piece.columns, pa.array([r.tolist() for _, r, _ in found], pa.list_(pa.int64())), pa.array([sorted(i) for _, _, i in found], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names, runs_col, items_col])
+
+        return run
+
+    between = T.StructType([*docs.schema.fields, T.StructField(runs_col, T.ArrayType(T.LongType())), T.StructField(items_col, T.ArrayType(T.StringType()))])
+    carried, group = False, None
+    for after in groups(benchmark, size, id_col, item_text, most_bytes, block_bytes):
+        if group is not None:
+            sent = spark.sparkContext.broadcast(group)
+            left, carried = written(in_arrow(left, scan(sent, carried, False), between), "searched"), True
+            sent.destroy()
+        group = after
+    return in_arrow(left, scan(spark.sparkContext.broadcast(group or []), carried, True), schema)
 
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "item_id", text_col: str = "text",
-    most_bytes: int = 256 << 20, block_bytes: int = 32 << 20, slice_bytes: int = 2 << 20,
+    most_bytes: int = 64 << 20, block_bytes: int = 16 << 20, slice_bytes: int = 2 << 20,
 ) -> DataFrame:
     """Per row of ``docs``: n_words, n_hit (words inside an occurrence of a benchmark window), the items, contaminated.
 
-    A narrow pass over the documents against broadcast tables; the benchmark's size is checked
-    against ``most_bytes`` and it is searched in blocks of ``block_bytes`` of patterns. Null and
+    A narrow pass over the documents for every ``most_bytes`` of benchmark patterns, which are what is broadcast at
+    once, in blocks of ``block_bytes``; a benchmark of any size is searched whole. Null and
     empty texts have no words and no hits; null items and null item ids match nothing; windows that
-    several items share count for each; rows repeated in either table change nothing else; with an
-    empty benchmark nothing is hit. Other columns are ignored.
+    several items share count for each; texts of any length are searched by cursors that move together; rows repeated
+    in either table change nothing else; with an empty benchmark nothing is hit. Other columns are ignored.
     """
-    blocks = matchers(benchmark, size, id_col, text_col, most_bytes, block_bytes)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text", slice_bytes):
-            found = search(utf8(piece.column("text")), [b.value for b in blocks])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    piece.column("doc_id"),
-                    *(pa.array(c, pa.int64()) for c in ([f[0] for f in found], [f[1] for f in found], [len(f[2]) for f in found])),
-                    pa.array([hashlib.sha256(",".join(sorted(f[2])).encode()).hexdigest() for f in found], pa.string()),
-                    pa.array([f[1] > 0 for f in found], pa.bool_()),
-                ],
-                names=[c.split()[0] for c in SCHEMA.split(", ")],
-            )
-
-    return in_arrow(id_and_text(docs), scan, SCHEMA)
-
-
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no benchmark window; a null text holds none."""
-    blocks = matchers(benchmark, size, "item_id", "text", 256 << 20, 32 << 20)
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, text_col, slice_bytes):
-            found = search(utf8(piece.column(text_col)), [b.value for b in blocks])
-            yield piece.filter(pa.array([not f[1] for f in found], pa.bool_()))
-
-    return in_arrow(docs, clean, docs.schema)
+
+    def finish(piece: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        hits = [int((runs[1::2] - runs[::2]).sum()) for _, runs, _ in found]
+        return pa.RecordBatch.from_arrays(
+            [
+                piece.column("doc_id"),
+                *(pa.array(c, pa.int64()) for c in ([f[0] for f in found], hits, [len(f[2]) for f in found])),
+                pa.array([hashlib.sha256(",".join(sorted(f[2])).encode()).hexdigest() for f in found], pa.string()),
+                pa.array([n > 0 for n in hits], pa.bool_()),
+            ],
+            names=[c.split()[0] for c in SCHEMA.split(", ")],
+        )
+
+    return searched(id_and_text(docs), benchmark, size, "text", id_col, text_col, most_bytes, block_bytes, slice_bytes, finish, SCHEMA)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", most_bytes: int = 64 << 20, block_bytes: int = 16 << 20, slice_bytes: int = 2 << 20) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no benchmark window.
+
+    A null or empty text holds none; with an empty benchmark all rows stay; repeated rows stay or go alike; an empty
+    table gives no rows; columns of any names are kept. The benchmark may be of any size, as in decontaminate.
+    """
+
+    def finish(piece: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        return piece.filter(pa.array([not len(runs) for _, runs, _ in found], pa.bool_()))
+
+    return searched(docs, benchmark, size, text_col, "item_id", "text", most_bytes, block_bytes, slice_bytes, finish, docs.schema)

@@ -109,8 +109,8 @@ def test_decontamination(spark, empty):
             owners[tuple(w[k : k + 10])].add(str(i))
     sizes = {len(k) for k in owners}
     benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
-    for block in (32 << 20, 200):  # the second makes several blocks
-        rows = {r["doc_id"]: r for r in wumanber.decontaminate(frame(spark, texts), benchmark, block_bytes=block).collect()}
+    for block, most in ((32 << 20, 64 << 20), (200, 64 << 20), (300, 1500)):  # one block, several, and several passes
+        rows = {r["doc_id"]: r for r in wumanber.decontaminate(frame(spark, texts), benchmark, block_bytes=block, most_bytes=most).collect()}
         for i, t in enumerate(texts):
             w, hit, own = item_words(t), set(), set()
             for n in sizes:
@@ -120,12 +120,30 @@ def test_decontamination(spark, empty):
                         hit |= set(range(k, k + n))
             want = (i, len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit))
             assert tuple(rows[i]) == want, t
-    clean = wumanber.uncontaminated(frame(spark, texts), benchmark)
-    assert {r["doc_id"] for r in clean.collect()} == {i for i in rows if not rows[i]["contaminated"]}
+    assert len(list(wumanber.groups(benchmark, 10, "item_id", "text", 1500, 300))) > 2
+    for most in (64 << 20, 1500):
+        clean = wumanber.uncontaminated(frame(spark, texts), benchmark, block_bytes=300, most_bytes=most)
+        assert clean.columns == frame(spark, []).columns
+        assert {r["doc_id"] for r in clean.collect()} == {i for i in rows if not rows[i]["contaminated"]}
+    assert wumanber.uncontaminated(empty, benchmark).collect() == []
     assert wumanber.decontaminate(empty, benchmark).collect() == []
     assert not any(r["contaminated"] for r in wumanber.decontaminate(frame(spark, texts[:9]), benchmark.limit(0)).collect())
-    with pytest.raises(ValueError, match="bound"):
-        wumanber.decontaminate(empty, benchmark, most_bytes=10)
+    twice = wumanber.decontaminate(frame(spark, [texts[9]] * 2, [9, 9]), benchmark.unionAll(benchmark)).collect()
+    assert twice[0] == twice[1] == rows[9]
+    long = wumanber.decontaminate(frame(spark, ["a b " * 700_000 + items[-1][1]]), benchmark).first()
+    assert long["n_items"] >= 1 and long["n_words"] == 1_400_030
+
+
+def test_merged_runs():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        sets = [np.zeros(40, dtype=bool) for _ in range(2)]
+        for s in sets:
+            for a, n in zip(rng.integers(0, 38, 3), rng.integers(0, 6, 3), strict=True):
+                s[a : a + n] = True
+        runs = [np.flatnonzero(np.diff(np.r_[False, s, False])) for s in sets]
+        both = wumanber.merged(*runs)
+        assert [i for a, b in both.reshape(-1, 2) for i in range(a, b)] == np.flatnonzero(sets[0] | sets[1]).tolist()
 
 
 def brute_fingerprint(t):

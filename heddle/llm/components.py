@@ -26,11 +26,14 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b: long); root is the least node reachable."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b: long); root is the least node reachable.
+
+    The rounds, which grow with the logarithm of the edges, go on until nothing changes.
+    """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, mark = written(pairs, "links"), None
-    for _ in range(most_rounds):
+    while True:
         after = written(_stars(_stars(now, True), False), "links")
         dropped(now)
         now = after
@@ -39,4 +42,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = state
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

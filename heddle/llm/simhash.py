@@ -265,34 +265,38 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+#: Shingle size and least similarity of near-duplicates.
+SHINGLE, BOUND = 5, Fraction(4, 5)
+
+
+def _five_words(data: bytes) -> np.ndarray:
+    return shingle_hashes(data, SHINGLE)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and component_id; rows whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
     The links are exact but for equal 64-bit hashes: no similar pair is lost and none below the bound links.
     Groups are transitive. A null text counts as empty; texts without words are copies of each other; repeated
     rows come back each; a null doc_id is kept and has component null if only such rows are in its group.
     """
-    bound = Fraction(str(similarity))
-
-    def shingles(data: bytes) -> np.ndarray:
-        return shingle_hashes(data, size)
-
-    rows = written(jaccard.nodes_of(docs, shingles), "nodes")
-    sets = written(jaccard.shared_sets(docs, shingles, bound), "sets")
-    links = jaccard.verified_links(sets, jaccard.prefix_links(sets, bound), bound)
-    return jaccard.grouped(rows, links)
+    return jaccard.grouped(*jaccard.linked(docs, _five_words, BOUND))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, without near-duplicates: of a group the least doc_id stays.
+def one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, without near-duplicates: of a group one row of the least doc_id stays.
 
-    Of several rows with that doc_id one stays. Rows without a doc_id can't be grouped and stay.
+    Of several rows with that doc_id in one group the least hash of all columns decides, and of wholly equal ones any
+    stays; rows with that doc_id in other groups, whose texts differ, are judged there. Rows without a doc_id can't be named and stay.
+    Null and empty texts, and those without words, are copies of each other; an empty table gives no rows; columns of
+    any names are kept.
     """
-    found = written(near_duplicates(docs), "groups")
-    heads = found.where("doc_id = component_id")
+    columns = docs.columns
+    digest, row = "__row", F.xxhash64(*(F.col(f"`{c}`") for c in columns))
+    known = docs.where("doc_id is not null").withColumn(digest, row)
+    heads = written(jaccard.heads(known, digest, _five_words, BOUND, text_col), "heads")
     # the heads grow with the documents, so they are never broadcast, however few they are
-    ids = written(heads.select("doc_id").distinct(), "heads").hint("shuffle_hash")
-    kept = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
-    if heads.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+    kept = known.join(heads.hint("shuffle_hash"), ["doc_id", digest], "left_semi")
+    # both steps are dealt by the same key, so equal rows that meet here were shuffled once
+    kept = kept.dropDuplicates(["doc_id", digest]).select(*(F.col(f"`{c}`") for c in columns))
     return kept.unionByName(docs.where("doc_id is null"))

@@ -224,6 +224,19 @@ def test_near_duplicate_recall(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(group.values()))
 
 
+def test_one_of_each_with_repeated_ids(spark, empty):
+    """Distinct texts that share a doc_id stay, wholly equal rows become one, and rows without a doc_id stay."""
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "one two three four five six", "Seven eight nine ten eleven twelve", "a b c d e f g", "a b c d e f g", None, ""]
+    ids = [1, 1, 1, 5, None, None, 9, 8]
+    kept = simhash.one_of_each(frame(spark, texts, ids))
+    assert kept.columns == empty.columns
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect())
+    assert got == [(0, texts[4]), (0, texts[5]), (1, texts[0]), (1, texts[1]), (8, "")]
+    assert simhash.one_of_each(empty).collect() == []
+    long = " ".join(f"w{i}" for i in range(200_000))
+    assert len(simhash.one_of_each(frame(spark, [long, long + " x", "short"])).collect()) == 2
+
+
 def jaccard_groups(texts):
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").encode().lower().split() for t in texts)]
     return brute_components(sets, lambda a, b: 10 * len(a & b) >= 8 * len(a | b))

@@ -45,7 +45,7 @@ def rows(found):
     return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found.collect()}
 
 
-@pytest.mark.parametrize(("seed", "hot", "piece"), [(1, 20_000, 1 << 20), (2, 3, 1 << 20), (3, 20_000, 700)])
+@pytest.mark.parametrize(("seed", "hot", "piece"), [(1, 512, 1 << 20), (2, 3, 1 << 20), (3, 512, 700)])
 def test_against_all_windows(spark, monkeypatch, seed, hot, piece):
     monkeypatch.setattr(suffix, "HOT", hot)  # few stretches make a key hot: the other path
     monkeypatch.setattr(suffix, "PIECE", piece)
@@ -60,6 +60,50 @@ def test_edges(spark, empty):
     assert suffix.remove_repeats(empty).collect() == []
     same = suffix.remove_repeats(frame(spark, ["x y z " * 50] * 2, [1, 1])).collect()
     assert len(same) == 2 and same[0] == same[1] and same[0]["n_removed"] == 300
+    texts = ["a" * 250, None, "x" * 199, "é" * 150 + "z", "b" * 250, "a" * 250, "é" * 150, "c" * 50 + "\0" * 260, "\0" * 220]
+    assert rows(suffix.remove_repeats(frame(spark, texts))) == dict(enumerate(brute(texts, 200)))
+    ids = suffix.remove_repeats(frame(spark, ["q w " * 60, "q w " * 60, "q w " * 70], [None, None, 4])).collect()
+    assert sorted(r["n_removed"] for r in ids) == [240, 240, 280]
+
+
+def test_many_copies_and_a_very_long_text(spark, monkeypatch):
+    """A text that most rows hold, and one of millions of bytes that holds it too."""
+    rng = random.Random(4)
+    hot, long = "".join(rng.choices("abcdef ", k=400)), "".join(rng.choices("abcdefgh ", k=3_000_000))
+    texts = [*[hot] * 300, long + hot, *(f"{i} " * 80 + hot[:250] for i in range(40)), long[1_000_000:1_000_300]]
+    got = rows(suffix.remove_repeats(frame(spark, texts).repartition(4)))
+    assert all(got[i][1] == 400 for i in range(300)) and got[300][:3] == (3_000_400, 700, 2)
+    assert got[341][1] == 300 and [got[i][1] for i in range(301, 341)] == [w[1] for w in brute([hot, *texts[301:341]], 200)[1:]]
+
+
+def test_same_windows():
+    """Windows by sorted suffixes and common prefixes against all windows by their bytes."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        n, span = int(rng.integers(2, 40)), 24
+        key, most = np.sort(rng.integers(0, 3, n)), rng.integers(0, 9, n)
+        least, place = np.array([rng.integers(0, m + 1) for m in most]), rng.integers(50, 1000, n)
+        base = rng.integers(0, 2, 40).astype(np.uint8)
+        contents = []
+        for i in range(n):  # parts of one string around its place 10, with few bytes changed
+            data = base[10 - most[i] : 10 - least[i] + span].copy()
+            data[rng.integers(0, len(data), rng.integers(0, 2))] ^= 1
+            contents.append(data.tobytes())
+        seen = collections.defaultdict(set)
+        for i in range(n):
+            for j in range(least[i], most[i] + 1):
+                seen[key[i], j, contents[i][most[i] - j : most[i] - j + span]].add(i)
+        want = collections.defaultdict(set)
+        for (_, j, _), rows_of in seen.items():
+            if len(rows_of) > 1:
+                for i in rows_of:
+                    want[i] |= set(range(place[i] - j, place[i] - j + span))
+        got = collections.defaultdict(set)
+        for i, a, b in zip(*suffix.same_windows(key, place, least, most, contents, span), strict=True):
+            got[i] |= set(range(a, b))
+        assert got == want
 
 
 def test_multikey_order():

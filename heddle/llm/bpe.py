@@ -13,15 +13,20 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from functools import lru_cache
+from itertools import compress, count, repeat
+from operator import is_
 
 import numpy as np
 import regex
 
 #: The fixed pre-token pattern of byte-level tokenizers of this family.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII alone, in which these are all letters and figures there are.
+PRETOKEN_ASCII = PRETOKEN.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(" ?a-zA-Z+", " ?[a-zA-Z]+").replace(" ?0-9+", " ?[0-9]+")
 #: Pre-tokens whose ids a worker keeps; those met later are merged anew each time.
-KEEP = 300_000
+KEEP = 500_000
 #: Pre-tokens of more bytes are merged over linked arrays and not kept.
 LONG = 192
 NEVER = np.int64(1 << 40)
@@ -42,16 +47,17 @@ class Merger:
         made = np.array([vocabulary[a + b] for a, b in merges], dtype=np.int64)
         self.by_rank, self.made_by_rank = keys, made
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        self.keys, self.rank, self.made = keys[order], np.append(order.astype(np.int64), NEVER), made[order]
+        self.byte_pairs, _ = self.found((self.base[:, None] * self.width + self.base).reshape(-1))
 
     def found(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each pair is among the merges, and its rank (NEVER: it isn't)."""
+        """Where each pair is among the merges (behind them: nowhere), and its rank (NEVER)."""
         at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return at, np.where(self.keys[at] == key, self.rank[at], NEVER)
+        at[self.keys[np.minimum(at, len(self.keys) - 1)] != key] = len(self.keys)
+        return at, self.rank[at]
 
-    def ids(self, sequences: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each (non-empty) byte sequence."""
+    def ids(self, sequences: list[bytes]) -> list[bytes]:
+        """Token ids of each (non-empty) byte sequence, as little-endian unsigned 32-bit integers."""
         long = [i for i, s in enumerate(sequences) if len(s) > LONG]
         if not long:
             return self.in_rounds(sequences)
@@ -59,7 +65,7 @@ class Merger:
         made = dict(zip(long, self.in_links([sequences[i] for i in long]), strict=True))
         return [made[i] if i in made else next(rest) for i in range(len(sequences))]
 
-    def in_links(self, sequences: list[bytes]) -> list[np.ndarray]:
+    def in_links(self, sequences: list[bytes]) -> list[bytes]:
         """As in_rounds; what is done grows with the merges, whatever the sequences' lengths."""
         ends = np.cumsum(np.fromiter(map(len, sequences), dtype=np.int64, count=len(sequences)) + 1)
         # one stop (symbol -1) behind each sequence, and one before the first by index -1
@@ -106,45 +112,61 @@ class Merger:
         out, start = [], 0
         for end in ends.tolist():
             own = symbols[start : end - 1]
-            out.append(own[own >= 0].astype("<u4"))
+            out.append(own[own >= 0].astype("<u4").tobytes())
             start = end
         return out
 
-    def in_rounds(self, sequences: list[bytes]) -> list[np.ndarray]:
-        """All sequences at once, one round for each merge of the longest; for short ones."""
+    def in_rounds(self, sequences: list[bytes]) -> list[bytes]:
+        """All sequences at once, one round for each merge of the longest; for short ones.
+
+        Pairs of bytes have a table of their own; after a round only the pairs it made are looked up.
+        """
         if not sequences:
             return []
         lengths = np.fromiter(map(len, sequences), dtype=np.int64, count=len(sequences))
-        symbols = self.base[np.frombuffer(b"".join(sequences), dtype=np.uint8)]
-        owner = np.repeat(np.arange(len(sequences)), lengths)
+        data = np.frombuffer(b"".join(sequences), dtype=np.uint8)
+        symbols, owner = self.base[data], np.repeat(np.arange(len(sequences)), lengths)
+        pair = np.append(data[:-1].astype(np.int64) << 8 | data[1:], 0)  # with the symbol behind
+        at = self.byte_pairs[pair]
+        at[np.cumsum(lengths) - 1] = len(self.keys)
         done_owner, done_symbols = [], []
         while len(symbols):
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            key = np.empty(len(symbols), dtype=np.int64)
-            key[:-1] = symbols[:-1] * self.width + symbols[1:]
-            key[-1] = -1
-            key[np.r_[starts[1:] - 1, len(symbols) - 1]] = -1
-            at, rank = self.found(key)
+            rank = self.rank[at]
             best = np.minimum.reduceat(rank, starts)
             sizes = np.diff(np.r_[starts, len(symbols)])
             over = np.repeat(best == NEVER, sizes)
             hit = np.flatnonzero((rank == np.repeat(best, sizes)) & ~over)
+            stay = ~over
             if len(hit):
                 # overlapping occurrences (a run of one symbol): every second one, from the left
                 new_run = np.r_[True, hit[1:] != hit[:-1] + 1]
                 first = hit[new_run][np.cumsum(new_run) - 1]
                 hit = hit[(hit - first) % 2 == 0]
                 symbols[hit] = self.made[at[hit]]
-            stay = ~over
-            stay[hit + 1] = False
+                stay[hit + 1] = False
             if over.any():
                 done_owner.append(owner[over])
                 done_symbols.append(symbols[over])
-            symbols, owner = symbols[stay], owner[stay]
+            place = np.cumsum(stay) - 1  # where a symbol goes
+            symbols, owner, at = symbols[stay], owner[stay], at[stay]
+            if len(hit):
+                made = place[hit]
+                new = np.zeros(len(symbols) + 1, dtype=bool)
+                new[made] = new[made - 1] = True  # the last is no symbol: there is none before the first
+                look = np.flatnonzero(new[:-1])
+                behind = np.minimum(look + 1, len(symbols) - 1)
+                found, _ = self.found(symbols[look] * self.width + symbols[behind])
+                at[look] = np.where((behind > look) & (owner[look] == owner[behind]), found, len(self.keys))
         owner, symbols = np.concatenate(done_owner), np.concatenate(done_symbols)
         order = np.argsort(owner, kind="stable")
-        cuts = np.cumsum(np.bincount(owner, minlength=len(sequences)))[:-1]
-        return np.split(symbols[order].astype("<u4"), cuts)
+        return _parts(symbols[order], np.cumsum(np.bincount(owner, minlength=len(sequences))))
+
+
+def _parts(symbols: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Symbols as bytes, cut at the ends."""
+    data, cuts = symbols.astype("<u4").tobytes(), (4 * ends).tolist()
+    return [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
 
 class Encoder:
@@ -155,12 +177,15 @@ class Encoder:
             spec = json.load(f)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.merger = Merger(spec["model"]["vocab"], merges)
-        self.pieces = regex.compile(PRETOKEN).findall
+        self.any_pieces, self.ascii_pieces = regex.compile(PRETOKEN).findall, re.compile(PRETOKEN_ASCII, re.ASCII).findall
         added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in spec["added_tokens"]}
         self.added = added
         self.apart = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
         self.known: dict[str, bytes] = {}
 
+    def pieces(self, text: str) -> list[str]:
+        return self.ascii_pieces(text) if text.isascii() else self.any_pieces(text)
+
     def split(self, text: str) -> list[str]:
         """Pre-tokens; an added token's string is one of its own."""
         if self.apart is None or not self.apart.search(text):
@@ -174,21 +199,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        known = self.known
-        split = [self.split(t) for t in texts]
-        new: set[str] = set()
-        for pieces in split:
-            new |= set(pieces).difference(known)
-        fresh = list(new)
-        plain = [p for p in fresh if p not in self.added]
-        known.update((p, self.added[p]) for p in fresh if p in self.added)
-        known.update(zip(plain, (ids.tobytes() for ids in self.merger.ids([p.encode() for p in plain])), strict=True))
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        full = len(known) > KEEP
-        for p in fresh:
-            if full or len(p) > LONG:
-                del known[p]
-        return out
+        known, found, gaps, new = self.known, [], [], {}
+        for text in texts:
+            pieces = self.split(text)
+            ids = list(map(known.get, pieces))
+            gap = [(i, pieces[i]) for i in compress(count(), map(is_, ids, repeat(None)))]
+            new.update((p, self.added.get(p)) for _, p in gap)
+            found.append(ids)
+            gaps.append(gap)
+        plain = [p for p, ids in new.items() if ids is None]
+        new.update(zip(plain, self.merger.ids([p.encode() for p in plain]), strict=True))
+        for ids, gap in zip(found, gaps, strict=True):
+            for i, p in gap:
+                ids[i] = new[p]
+        if len(known) < KEEP:
+            known.update((p, ids) for p, ids in new.items() if len(p) <= LONG)
+        return list(map(b"".join, found))
 
 
 @lru_cache(maxsize=2)

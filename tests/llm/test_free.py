@@ -274,6 +274,28 @@ def test_large_group_is_compared_in_blocks(spark, monkeypatch):
     assert found_groups(spark, texts) == jaccard_groups(texts)
 
 
+@pytest.mark.parametrize("leaders", [1, 3])
+def test_large_parts_make_no_cells(spark, monkeypatch, leaders):
+    """Large groups of near copies, connected by their leaders, beside texts that share their rare words and are not similar."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "LEADERS", leaders)
+    rng = random.Random(19)
+    base = [[f"b{k}x{i}" for i in range(120)] for k in range(2)]
+    texts = []
+    for k in range(2):
+        for _ in range(60):
+            words = list(base[k])
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(120)] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+        for cut in (40, 60, 90, 95, 100):  # chains to the large part, some by links of their own
+            texts += [" ".join(base[k][:cut] + [f"s{k}{cut}{i}" for i in range(120 - cut)]), " ".join(base[k][120 - cut :])]
+    texts += [" ".join(base[0][:60] + base[1][:60]), " ".join(base[0][:60] + base[1][:62])]
+    want = jaccard_groups(texts)
+    assert found_groups(spark, texts) == want
+    assert max(collections.Counter(want).values()) >= 60
+
+
 def test_sharding(spark, empty):
     texts = [None, "", *noise(PIECES, 3000, 60, 11), *["hot group of copies"] * 1500, *["another group"] * 40]
     rows = sharding.shard_documents(frame(spark, texts)).collect()

@@ -9,6 +9,7 @@ whole group. A group that lies in the searcher's own component already is skippe
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -230,22 +231,34 @@ def near_links(prints: DataFrame, keys, most: int, words: int) -> DataFrame:
     return in_arrow(dealt.repartition("key"), link, "a long, b long")
 
 
-def block_keys(blocks: int):
-    """Bucket keys that lose no pair: of so many blocks of a 64-bit fingerprint, one is equal if fewer bits differ."""
-    edges = np.linspace(0, 64, blocks + 1).astype(int)
+def block_keys(blocks: int, most: int):
+    """Bucket keys that lose no pair: of so many blocks of a 64-bit fingerprint, all but ``most`` are equal if that many bits differ.
+
+    A key is one choice of equal blocks: about 64 * (blocks - most) / blocks bits wide.
+    """
+    edges = np.linspace(0, 64, blocks + 1).astype(int).tolist()
+    masks = [sum((1 << hi) - (1 << lo) for lo, hi in (edges[b : b + 2] for b in chosen)) for chosen in itertools.combinations(range(blocks), blocks - most)]
 
     def keys(prints: np.ndarray) -> np.ndarray:
         x = prints[:, 0]
-        out = [((x >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)) | np.uint64(k << 56) for k, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))]
-        return np.stack(out, axis=1).astype(np.int64)
+        # the kept bits, mixed with the number of the choice, in 64 bits: other choices' keys and other bits meet by chance only
+        return np.stack([mixed(x & np.uint64(m), k + 1) for k, m in enumerate(masks)], axis=1).view(np.int64)
 
     return keys
 
 
+def blocks_for(rows: int, most: int) -> int:
+    """Blocks whose keys are as wide as ``rows`` fingerprints need, so that buckets of unlike ones stay small at every size."""
+    blocks = most + 1
+    while rows > 1 << (64 * (blocks - most) // blocks + 6) and blocks < 2 * most:
+        blocks += 1
+    return blocks
+
+
 def groups(docs: DataFrame, size: int = 3, most: int = 3) -> DataFrame:
     """doc_id, f0, component_id of every row; rows link at ``most`` differing bits or fewer.
 
-    No link is lost: most + 1 blocks serve as keys. Rows with equal fingerprints are one node, the least doc_id standing for
+    No link is lost, whatever the keys (see block_keys). Rows with equal fingerprints are one node, the least doc_id standing for
     them, so exact copies never meet in a bucket. A null text counts as empty; texts without words have
     fingerprint zero and link like others; repeated rows come back each; an empty table gives no rows; a
     null doc_id is kept and has component null if it alone has its fingerprint.
@@ -253,7 +266,8 @@ def groups(docs: DataFrame, size: int = 3, most: int = 3) -> DataFrame:
     names = ["f0"]
     prints = written(fingerprints(docs, size), "prints")
     nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "nodes")
-    found = components(near_links(nodes.where("rep is not null"), block_keys(most + 1), most, 1))
+    keys = block_keys(blocks_for(nodes.count(), most), most)
+    found = components(near_links(nodes.where("rep is not null"), keys, most, 1))
     named = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
     named = written(named, "named")
     return prints.join(named, names, "left").select("doc_id", *names, "component_id")

@@ -194,6 +194,25 @@ def test_simhash(spark, empty):
     assert [r["component_id"] for r in twice] == [4, 4]
 
 
+@pytest.mark.parametrize("blocks", [4, 5, 6])
+def test_block_keys_lose_no_pair(spark, monkeypatch, blocks):
+    """Fingerprints at three bits share a key, and the groups are those of fewer blocks; keys widen with the rows."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 1 << 63, size=500, dtype=np.uint64)
+    y = x.copy()
+    for _ in range(3):
+        y ^= np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)
+    keys = simhash.block_keys(blocks, 3)
+    a, b = keys(x[:, None]), keys(y[:, None])
+    assert (a == b).any(axis=1).all() and len({*map(int, a.reshape(-1))}) > 450
+    assert [simhash.blocks_for(n, 3) for n in (0, 10**5, 10**8, 10**12)] == [4, 4, 5, 6]
+    texts = near_copies(8, 120, 4)
+    monkeypatch.setattr(simhash, "blocks_for", lambda rows, most: blocks)
+    prints = [brute_fingerprint(t) for t in texts]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(prints, lambda a, b: (a ^ b).bit_count() <= 3)
+
+
 def test_gray_index():
     rng = np.random.default_rng(3)
     for _ in range(15):

@@ -7,7 +7,7 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column as SparkColumn
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from heddle.plans.catalog import Relation
@@ -17,11 +17,18 @@ def _keys(columns: tuple[str, ...], prefix: str) -> list[SparkColumn]:
     return [F.col(f"`{c}`").alias(f"{prefix}{i}") for i, c in enumerate(columns)]
 
 
-def only_related(children: DataFrame, parents: DataFrame, relation: Relation) -> DataFrame:
-    """Children of a page of parents. A page has a bounded number of rows, so its keys may be broadcast."""
-    keys = parents.select(*_keys(relation.local, "__p")).distinct()
-    condition = reduce(and_, [F.col(f"`{c}`") == F.col(f"__p{i}") for i, c in enumerate(relation.remote)])
-    return children.join(F.broadcast(keys), condition, "left_semi")
+def only_related(children: DataFrame, parents: list[Row], relation: Relation) -> DataFrame:
+    """Children of a page of parents, whose keys are part of the plan and so reach the file scan. NULL keys have no children."""
+    types = [children.schema[c].dataType for c in relation.remote]
+    keys = sorted({key for row in parents if None not in (key := tuple(row[c] for c in relation.local))})
+    if not keys:
+        return children.where(F.lit(False))
+    columns = [F.col(f"`{c}`") for c in relation.remote]
+    within = [c.isin([F.lit(v).cast(t) for v in sorted({k[i] for k in keys})]) for i, (c, t) in enumerate(zip(columns, types, strict=True))]
+    if len(columns) > 1:
+        whole = [F.struct(*(F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(key, types, strict=True)))) for key in keys]
+        within.append(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns))).isin(whole))
+    return children.where(reduce(and_, within))
 
 
 def _attach(parents: DataFrame, side: DataFrame, relation: Relation) -> DataFrame:

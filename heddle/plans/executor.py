@@ -241,7 +241,7 @@ class Executor:
 
     def _first(self, df: DataFrame, table: Table, selections: list | None) -> dict[str, Any] | None:
         selection = self.selection(table, selections)
-        found = self._rows(self.reader.node(df, table.name, selection, True).select("__node"))
+        found = self._rows(self.reader.page_nodes(df, table.name, selection).select("__node"))
         return self.shown(found[0]["__node"], selection) if found else None
 
     def _by_pk(self, f: doc.FieldNode, table: Table) -> Any:
@@ -310,7 +310,7 @@ class Executor:
         selection = [x for p in parts.values() if p.name == "node" for x in self.selection(table, p.selections)]
         df = self.reader.nearest(table.name, column, args["to"], str(args.get("metric", "COSINE")), args.get("first"), args.get("where"))
         ties = [F.col(f"`{c}`").alias(f"__tie{i}") for i, c in enumerate(table.primary_key)]
-        df = self.reader.node(df, table.name, selection, True).select("__node", "distance", *ties).orderBy("distance", *(f"__tie{i}" for i in range(len(ties))))
+        df = self.reader.page_nodes(df, table.name, selection, "distance", *table.primary_key).select("__node", "distance", *ties).orderBy("distance", *(f"__tie{i}" for i in range(len(ties))))
         out = []
         for r in self._rows(df):
             item: dict[str, Any] = {}

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column as SparkColumn
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions.scalars import InputError, literal
@@ -115,8 +115,21 @@ class Reader:
         rest = own.primary_key or (*fallback, *(c for c, x in own.columns.items() if x.kind not in ("Vector", "JSON")))
         return out + [F.col(f"`{c}`").asc_nulls_first() for c in dict.fromkeys(rest) if c not in used]
 
-    def node(self, df: DataFrame, table: str, selection: list[Leaf | Branch], bounded: bool, name: str = "__node") -> DataFrame:
-        """Add a struct of the selection. bounded: df is a page, whose keys may be broadcast."""
+    def held(self, df: DataFrame, selection: list[Leaf | Branch], *more: str) -> tuple[DataFrame, list[Row] | None]:
+        """A page, and its rows if relations hang on it: it is then read once, for all of them, and its keys are known to their plans.
+
+        A page has a bounded number of rows. Of its columns those stay that the selection or ``more`` needs.
+        """
+        branches = [x for x in selection if isinstance(x, Branch)]
+        if not branches:
+            return df, None
+        needed = [x.column.name for x in selection if isinstance(x, Leaf) and x.column] + [c for b in branches for c in b.relation.local] + list(more)
+        df = df.select(*(F.col(f"`{c}`") for c in dict.fromkeys(needed)))
+        rows = df.collect()
+        return self.spark.createDataFrame(rows, df.schema, verifySchema=False), rows
+
+    def node(self, df: DataFrame, table: str, selection: list[Leaf | Branch], page: list[Row] | None, name: str = "__node") -> DataFrame:
+        """Add a struct of the selection. page: the rows of df, if they are known."""
         parts = []
         for i, item in enumerate(selection):
             if isinstance(item, Leaf):
@@ -124,26 +137,26 @@ class Reader:
                 parts.append(value.alias(f"f{i}"))
             else:
                 held = f"__r{i}"
-                df = self.expand(df, item, held, bounded)
+                df = self.expand(df, item, held, page)
                 parts.append(F.col(held).alias(f"f{i}"))
         df = df.withColumn(name, F.struct(*parts) if parts else F.struct(F.lit(1).alias("f0")))
         return df.drop(*(f"__r{i}" for i, x in enumerate(selection) if isinstance(x, Branch)))
 
-    def expand(self, df: DataFrame, branch: Branch, name: str, bounded: bool) -> DataFrame:
+    def expand(self, df: DataFrame, branch: Branch, name: str, page: list[Row] | None) -> DataFrame:
         relation, target = branch.relation, self.catalog[branch.relation.target]
         rows = self.rows(target.name, branch.args.get("where"))
-        if bounded:
-            rows = relations.only_related(rows, df, relation)
+        if page is not None:
+            rows = relations.only_related(rows, page, relation)
         if not relation.many:
-            nodes = self.node(rows, target.name, branch.selection, False)
+            nodes = self.node(rows, target.name, branch.selection, None)
             return relations.to_one(df, nodes, relation, F.col("__node"), name, set(target.primary_key) == set(relation.remote))
         limit = paging.page_size(branch.args.get("limit"), self.default_page, self.most_page, "limit")
         offset = branch.args.get("offset") or 0
         if offset < 0:
             raise InputError("offset must be >= 0")
         order = self.order(target.name, branch.args.get("order_by"), relation.remote)
-        shaped = lambda numbered: self.node(numbered, target.name, branch.selection, False)
-        node_type = self.node(self.tables(target.name).limit(0), target.name, branch.selection, False).schema["__node"].dataType.simpleString()
+        shaped = lambda numbered: self.node(numbered, target.name, branch.selection, None)
+        node_type = self.node(self.tables(target.name).limit(0), target.name, branch.selection, None).schema["__node"].dataType.simpleString()
         return relations.to_many(df, rows, relation, shaped, node_type, name, order, limit, offset)
 
     # operators ---------------------------------------------------------------------------------------
@@ -173,9 +186,14 @@ class Reader:
         """Like page, with columns ``__node`` and the key."""
         df, size = self.page(table, where, first, after)
         key = [f"`{c.name}`" for c in self.key(table)]
-        df = self.node(df, table, selection, True)
+        df = self.page_nodes(df, table, selection, *(c.name for c in self.key(table)))
         return df.select("__node", *(F.col(c).alias(f"__key{i}") for i, c in enumerate(key))).orderBy(*(f"__key{i}" for i in range(len(key)))), size
 
+    def page_nodes(self, df: DataFrame, table: str, selection: list[Leaf | Branch], *more: str) -> DataFrame:
+        """Nodes of a frame with a bounded number of rows."""
+        df, rows = self.held(df, selection, *more)
+        return self.node(df, table, selection, rows)
+
     def total_count(self, table: str, where: dict[str, Any] | None = None) -> DataFrame:
         return aggregates.aggregate(self.rows(table, where), [], True).withColumnRenamed("count", "total_count")
 

@@ -9,11 +9,13 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.functions.scalars import InputError
 from heddle.operators.mutations import Writer, scratch_store
 from heddle.plans.catalog import Catalog, load
 from heddle.plans.executor import Executor
 from heddle.plans.policy import Identity, resolve
 from heddle.plans.reader import Branch, Leaf, Reader
+from heddle.plans.registry import Registry
 from heddle.sources.parquet import parquet_tables, schemas
 from heddle.sources.shared import shared_folder
 
@@ -170,7 +172,7 @@ def _leaves(r: Reader, table: str, *names: str) -> list[Leaf]:
 
 def _nested(r: Reader, table: str, key: str, branch: Branch, where: dict | None = None) -> DataFrame:
     """Key and the expanded branch of all rows of a table."""
-    return r.expand(r.rows(table, where), branch, "related", False).select(key, "related")
+    return r.expand(r.rows(table, where), branch, "related", None).select(key, "related")
 
 
 @query("rel_to_one", "SELECT o_orderkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey", "orders", "customer")
@@ -385,6 +387,106 @@ def _document(r: Reader) -> DataFrame:
     return r.spark.createDataFrame([("_role", data["_role"]), ("count", str(data["customer_aggregate"]["count"])), *nodes], "field string, value string")
 
 
+# relations whose keys are composite, null or of the same table, over views of the sample tables
+
+_THREADS = """
+tables:
+  said: {primary_key: [conv_id, turn], foreign_keys: [{columns: [conv_id, after], references: said, ref_columns: [conv_id, turn]}]}
+  heap: {primary_key: [id], foreign_keys: [{columns: [above_id], references: heap, ref_columns: [id]}]}
+"""
+_SAID = "SELECT conv_id, turn, role, CASE WHEN turn > 0 THEN turn - 1 END AS after FROM conversations"
+_HEAP = "SELECT p_partkey AS id, p_size AS size, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS above_id FROM part"
+
+
+def _threads(spark: SparkSession, sf_dir: str) -> Reader:
+    found = parquet_tables(spark, sf_dir)
+    turn, key = F.col("turn"), F.col("p_partkey")
+    made = {
+        "said": found("conversations").select("conv_id", "turn", "role", F.when(turn > 0, turn - 1).alias("after")),
+        "heap": found("part").select(key.alias("id"), F.col("p_size").alias("size"), F.when(key > 1, F.floor(key / 2)).cast("long").alias("above_id")),
+    }
+    catalog = load(_THREADS, {n: df.schema for n, df in made.items()})
+    return Reader(spark, catalog, resolve("role", ALL, catalog), Identity("role", {}), made.__getitem__)
+
+
+def _thread_query(name: str, sql: str):
+    def register(plan: Callable[[Reader], DataFrame]) -> Callable[[Reader], DataFrame]:
+        _queries[name] = lambda spark, sf_dir: plan(_threads(spark, sf_dir))
+        _sql[name] = " ".join(f"WITH said AS ({_SAID}), heap AS ({_HEAP}) {sql}".split())
+        return plan
+
+    return register
+
+
+@_thread_query("rel_composite_null", "SELECT s.conv_id, s.turn, a.role AS before FROM said s LEFT JOIN said a ON s.conv_id = a.conv_id AND s.after = a.turn")
+def _composite(r: Reader) -> DataFrame:
+    one = next(x for x in r.catalog.relations("said").values() if not x.many)
+    df = r.node(r.rows("said"), "said", [*_leaves(r, "said", "conv_id", "turn"), Branch(one.name, one, _leaves(r, "said", "role"))], None)
+    return df.select(F.col("__node.f0").alias("conv_id"), F.col("__node.f1").alias("turn"), F.col("__node.f2.f0").alias("before"))
+
+
+@_thread_query(
+    "rel_composite_page",
+    """SELECT p.conv_id, p.turn, count(c.turn) AS replies, min(c.role) AS role FROM (SELECT * FROM said WHERE role <> 'nobody' ORDER BY conv_id, turn LIMIT 61) p
+    LEFT JOIN said c ON c.conv_id = p.conv_id AND c.after = p.turn GROUP BY p.conv_id, p.turn""",
+)
+def _composite_page(r: Reader) -> DataFrame:
+    many = next(x for x in r.catalog.relations("said").values() if x.many)
+    df, _ = r.connection("said", [*_leaves(r, "said", "conv_id", "turn"), Branch(many.name, many, _leaves(r, "said", "role"))], {"role": {"_neq": "nobody"}}, 60)
+    replies = F.col("__node.f2")
+    return df.select(F.col("__node.f0").alias("conv_id"), F.col("__node.f1").alias("turn"), F.size(replies).cast("long").alias("replies"), F.array_min(F.transform(replies, lambda x: x["f0"])).alias("role"))
+
+
+@_thread_query("rel_self", "SELECT h.id, u.size AS above, t.id AS top, (SELECT count(*) FROM heap b WHERE b.above_id = h.id) AS below FROM heap h LEFT JOIN heap u ON h.above_id = u.id LEFT JOIN heap t ON u.above_id = t.id")
+def _self(r: Reader) -> DataFrame:
+    one = next(x for x in r.catalog.relations("heap").values() if not x.many)
+    many = next(x for x in r.catalog.relations("heap").values() if x.many)
+    up = Branch(one.name, one, [*_leaves(r, "heap", "size"), Branch(one.name, one, _leaves(r, "heap", "id"))])
+    df = r.node(r.rows("heap"), "heap", [*_leaves(r, "heap", "id"), up, Branch(many.name, many, _leaves(r, "heap", "id"))], None)
+    n = F.col("__node")
+    return df.select(n["f0"].alias("id"), n["f1"]["f0"].alias("above"), n["f1"]["f1"]["f0"].alias("top"), F.size(n["f2"]).cast("long").alias("below"))
+
+
+@query("page_info", "SELECT (SELECT count(*) FROM customer WHERE c_acctbal > 0) > 7 AS has_next, 7 AS nodes, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS total, 6 AS after_nodes, (SELECT list(c_custkey ORDER BY c_custkey)[8] FROM customer WHERE c_acctbal > 0) AS after_first", "customer")
+def _page_info(r: Reader) -> DataFrame:
+    text = "query ($a: String, $n: Int) { customer_connection(first: $n, after: $a, where: {c_acctbal: {_gt: 0}}) { nodes { c_custkey } page_info { has_next_page end_cursor } total_count } }"
+    page = Executor(r).execute(text, {"n": 7})["data"]["customer_connection"]
+    after = Executor(r).execute(text, {"n": 6, "a": page["page_info"]["end_cursor"]})["data"]["customer_connection"]["nodes"]
+    row = (page["page_info"]["has_next_page"], len(page["nodes"]), page["total_count"], len(after), after[0]["c_custkey"])
+    return r.spark.createDataFrame([row], "has_next boolean, nodes int, total long, after_nodes int, after_first long")
+
+
+@query("introspected_columns", "SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'String' WHEN 'DOUBLE' THEN 'Float' WHEN 'INTEGER' THEN 'Int' ELSE 'BigInt' END AS type FROM (DESCRIBE SELECT * FROM customer)", "customer")
+def _introspected(r: Reader) -> DataFrame:
+    found = Executor(r).execute('{ __type(name: "customer") { fields { name type { name ofType { name } } } } }')["data"]["__type"]["fields"]
+    return r.spark.createDataFrame([(f["name"], f["type"]["name"] or f["type"]["ofType"]["name"]) for f in found], "name string, type string")
+
+
+@query("hooks_around_writes", "SELECT * FROM (VALUES ('before_delete', 'region', NULL), ('after_delete', 'region', 2), ('refused', 'region', NULL), ('left', 'region', (SELECT count(*) - 2 FROM region))) t(event, name, n)", "region")
+def _hooks(r: Reader) -> DataFrame:
+    seen: list[tuple] = []
+    registry = Registry()
+
+    def note(event) -> None:
+        seen.append((f"{'before' if event.affected is None else 'after'}_{event.operation}", event.table, event.affected))
+
+    def refuse(event) -> None:
+        raise InputError("refused")
+
+    registry.mutation_hook("note", note)
+    registry.mutation_hook("refuse", refuse)
+    store = scratch_store(r.spark, r, ["region"], shared_folder(r.spark))
+    wiring = {"*": {"before_delete": ["note"]}, "region": {"after_delete": ["note"], "after_update": ["refuse"]}}
+    writer = Writer(r, store, registry, wiring)
+    writer.delete("region", {"r_regionkey": {"_lt": 2}})
+    try:
+        writer.update("region", {}, {"r_name": "X"})
+    except InputError as e:
+        seen.append((str(e), "region", None))
+    seen.append(("left", "region", store("region").where("r_name <> 'X'").count()))
+    return r.spark.createDataFrame(seen, "event string, name string, n long")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

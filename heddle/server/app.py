@@ -14,6 +14,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 from typing import Any
 
+import yaml
 from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 
@@ -25,7 +26,7 @@ from heddle.plans.reader import Reader
 from heddle.plans.registry import Registry, default
 from heddle.server.auth import AuthError, Identifier, Verifier, sign, table_lookup
 from heddle.server.config import ConfigError, parse
-from heddle.sources.parquet import jdbc_tables
+from heddle.sources.parquet import jdbc_declaration, jdbc_tables
 from heddle.sources.snapshots import SnapshotStore
 
 log = logging.getLogger("heddle")
@@ -63,6 +64,9 @@ def build(spark: SparkSession, config: dict[str, Any], registry: Registry = defa
         every = [r[0] for r in tables(f"(SELECT table_name FROM information_schema.tables WHERE table_schema = '{db['schema']}' AND table_type = 'BASE TABLE') t").collect()]
         schema_of = lambda name: tables(name).schema
     names = exposed(every, gen["tables"]["include"], gen["tables"]["exclude"])
+    if not db["path"]:  # the database's own keys hold where the catalog file declares none
+        known, own = jdbc_declaration(spark, url, names, db["schema"], user=db["user"], password=db["password"]), yaml.safe_load(declared) or {}
+        declared = {"tables": {n: known["tables"][n] | ((own.get("tables") or {}).get(n) or {}) for n in names}}
     catalog = load(declared, {n: schema_of(n) for n in names})
     access = {role: resolve(role, rules, catalog) for role, rules in config["roles"].items()}
     registry = registry.copy()

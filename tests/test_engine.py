@@ -306,3 +306,19 @@ def test_documents(shared):
     assert "unknown fragment" in error(shared, "{ posts_by_pk(id: 1) { ...G } }")
     assert "subscriptions" in error(shared, "subscription { posts_by_pk(id: 1) { id } }")
     assert data(shared, '{ posts_by_pk(id: """1""") { id } }') == {"posts_by_pk": {"id": 1}}
+
+
+def test_two_writers(own):
+    """A process that read a table before another one's write is refused, and nothing of its write is seen."""
+    from heddle.sources.snapshots import Conflict, SnapshotStore
+
+    first, second = blog.executor(own).writer, blog.executor(SnapshotStore(own.spark, own.folder)).writer
+    before = own("posts").count()
+    with second.store.lock("posts"):  # the other process is within its write
+        assert first.delete("posts", {"id": {"_eq": 1}}) == 1
+        with pytest.raises(Conflict):
+            second.store.commit("posts", own.schema("posts"), [])
+    assert own("posts").count() == before - 1
+    assert second.update("posts", {"id": {"_eq": 2}}, {"title": "Again"}) == 1
+    assert own.vacuum("posts") > 1 and own.versions("posts") == [own.versions("posts")[-1]]
+    assert own("posts").count() == before - 1 and own("posts").where("title = 'Again'").count() == 1

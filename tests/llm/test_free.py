@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -35,6 +36,19 @@ def test_token_counts(spark, empty, library):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         assert tuple(rows[i]) == (i, len((t or "").encode()), n, n > 512)
     assert tokens.token_counts(empty, PATH).collect() == []
+    twice = tokens.token_counts(frame(spark, ["ab cd"] * 2, [1, 1]), PATH).collect()
+    assert twice[0] == twice[1]
+
+
+def test_long_pretokens(spark, library):
+    """Unspaced texts: the same ids as the library's, in time that grows with the text."""
+    rng = random.Random(20)
+    texts = ["".join(rng.choices(a, k=n)) for a in ("ab", "abcdefghijklmnopqrstuvwxyz", "ACGT", "中文字语", ".-=", "aé") for n in (191, 192, 193, 500, 4000)]
+    rows = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(frame(spark, texts), PATH).collect()}
+    assert [rows[i] for i in range(len(texts))] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    began = time.time()
+    long = tokens.token_counts(frame(spark, ["".join(rng.choices("abcdefgh", k=1_000_000)), "a" * 1_000_000, "x " * 2_500_000]), PATH).collect()
+    assert time.time() - began < 60 and all(r["n_tokens"] > 10_000 for r in long)
 
 
 def test_packing(spark, empty, library):
@@ -190,6 +204,9 @@ def test_simhash(spark, empty):
     assert [rows[i]["component_id"] for i in range(len(texts))] == want
     assert len(set(want)) < len(texts) - 50
     assert simhash.simhash_groups(empty).collect() == []
+    long = " ".join(f"w{k % 90_000}" for k in range(400_000))
+    both = simhash.simhash_groups(frame(spark, [long, long + " x", None, ""], [7, 3, 8, 2])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in both} == {7: 3, 3: 3, 8: 2, 2: 2}
     twice = simhash.simhash_groups(frame(spark, ["same text here", "same text here"], [4, 4])).collect()
     assert [r["component_id"] for r in twice] == [4, 4]
 

@@ -158,6 +158,8 @@ def test_secrets(spark, empty):
         assert rows[i]["base_sha256"] == sha(shown(want)), t
         assert [rows[i][f"n_{k}"] for k in secrets.KINDS] == [sum(s[0] == k for s in want) for k in secrets.KINDS]
     assert secrets.secrets(empty).collect() == []
+    twice = secrets.secrets(frame(spark, ["token: abcdefgh12"] * 2, [1, 1])).collect()
+    assert twice[0] == twice[1] and twice[0]["n_assign"] == 1
 
 
 #: Modules whose names the models have not been trained on.
@@ -224,7 +226,11 @@ def test_quality(spark, empty):
         assert got == want, repr(t)
         failed = want[0] < 10 or 100 * want[4] > 20 * want[0]
         assert rows[i]["base_failed"] == failed and not (failed and rows[i]["kept"])
-    assert quality.quality(empty).collect() == []
+    assert quality.quality(empty).collect() == [] and quality.kept_rows(empty).collect() == []
+    twice = quality.quality(frame(spark, [texts[-2]] * 2, [1, 1])).collect()
+    assert twice[0] == twice[1]
+    words = " ".join(map(str, range(12)))
+    assert len(quality.kept_rows(frame(spark, [words] * 2, [None, None])).collect()) == 2
     kept = quality.kept_rows(frame(spark, texts))
     assert kept.columns == ["doc_id", "text", "lang", "failed", "words"]
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in rows.items() if r["kept"]}

@@ -26,7 +26,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: The same for texts of ASCII alone, in which these are all letters and figures there are.
 PRETOKEN_ASCII = PRETOKEN.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(" ?a-zA-Z+", " ?[a-zA-Z]+").replace(" ?0-9+", " ?[0-9]+")
 #: Pre-tokens whose ids a worker keeps; those met later are merged anew each time.
-KEEP = 500_000
+KEEP = 250_000
 #: Pre-tokens of more bytes are merged over linked arrays and not kept.
 LONG = 192
 NEVER = np.int64(1 << 40)

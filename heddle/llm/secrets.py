@@ -1,8 +1,8 @@
 """Secret scans by character Markov models, in DataFrame functions only.
 
 Two first-order models of characters, one of random strings and one of ordinary identifiers and words, are trained
-from labelled samples: strings drawn from the alphabets in which secrets are written, the public names of library
-modules, and the words of a bounded sample of the documents. A token of 12 characters or more is a secret, besides the
+from labelled strings: some drawn from the alphabets in which secrets are written, the public names of library
+modules, and the short words of all documents. A token of 12 characters or more is a secret, besides the
 matches of the three base patterns, if its log-likelihood ratio outweighs how rare secrets are.
 """
 
@@ -27,12 +27,13 @@ KINDS = ("assign", "access", "hex")
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}+"
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Strings drawn as labelled samples of the random class, and the most names taken from each module for the other.
+#: Strings drawn as labelled examples of the random class; no input is left out by this number.
 SAMPLES = 4000
-#: Documents (expected number), and code points of each, whose words are samples of the ordinary class too.
-SAMPLE_DOCS = 300
-SAMPLE_TEXT = 20_000
-#: Modules whose public names are samples of ordinary identifiers.
+#: Letters, and only these, between characters that no token holds: the words that are examples of the ordinary class too.
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,11}(?![A-Za-z0-9+/_=-])"
+#: Parts of a text, in which no token is cut; only one part's words are held at a time.
+PART = r"(?s).{1,65536}+[A-Za-z0-9+/_=-]*+"
+#: Modules whose public names are examples of ordinary identifiers.
 MODULES = (
     "argparse ast asyncio base64 calendar codecs collections concurrent.futures configparser contextlib csv ctypes dataclasses datetime decimal difflib dis "
     "email.message errno fractions functools glob gzip hashlib heapq html http.client importlib inspect io ipaddress itertools json locale logging "
@@ -57,7 +58,7 @@ def identifiers(modules: Iterable[str] = MODULES) -> list[str]:
     for name in modules:
         module = importlib.import_module(name)
         out.add(name.replace(".", "/"))
-        for x in sorted(vars(module))[:SAMPLES]:
+        for x in sorted(vars(module)):
             out |= {x, f"{name.replace('.', '-')}_{x}", x.upper()}
             if isinstance(own := vars(module)[x], type):
                 out |= {y for y in vars(own) if isinstance(y, str)}
@@ -74,15 +75,12 @@ def pairs_of(strings: Iterable[str]) -> dict[str, float]:
 
 
 def word_pairs(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """Pairs of letters in the short words of about SAMPLE_DOCS documents, whose hashes are low enough; at most 52 ** 2 counts reach the driver.
+    """Pairs of letters in the short words of all documents, whole texts; at most 52 ** 2 counts are kept by a task and reach the driver.
 
-    Words of 4 to 11 letters are never asked about themselves, so secrets in the sample do not teach that they are ordinary.
+    Words of 4 to 11 letters are never asked about themselves, so secrets in the documents do not teach that they are ordinary.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    low = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
-    some = docs.where(F.xxhash64("doc_id", text) <= low).select(F.substring(text, 1, SAMPLE_TEXT).alias("t"))
-    words = some.select(F.explode(F.regexp_extract_all("t", F.lit("(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,11}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("w"))
+    parts = docs.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(PART), F.lit(0))).alias("t"))
+    words = parts.select(F.explode(F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).alias("w"))
     each = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring("w", i, F.lit(2)))).alias("pair"))
     return {r["pair"]: float(r["count"]) for r in each.groupBy("pair").count().collect()}
 

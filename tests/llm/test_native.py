@@ -208,6 +208,21 @@ def test_secret_model_short_and_letters(spark):
     assert not any(hit[400:])
 
 
+def test_secret_model_counts_every_word(spark, monkeypatch):
+    """The models' counts come from all documents and all of each text, wherever parts of it end."""
+    rng = random.Random(31)
+    pieces = ["word", "Other", "longestword", "twelveletter", "abc", "x-y", "/path", "Ab9cd", "=", "\n", " ", "  ", "é", "😀", ",", "."]
+    texts = [None, "", *noise(pieces, 900, 12, seed=30), "".join(rng.choices(pieces, k=60_000)), "a" * 70_000 + " tail"]
+    want = collections.Counter()
+    for t in texts:
+        for w in re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,11}(?![A-Za-z0-9+/_=-])", t or ""):
+            want.update(w[k : k + 2] for k in range(len(w) - 1))
+    docs = frame(spark, texts).repartition(3)
+    assert secrets.word_pairs(docs) == want
+    monkeypatch.setattr(secrets, "PART", secrets.PART.replace("65536", "7"))
+    assert secrets.word_pairs(docs) == want
+
+
 def measures(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]

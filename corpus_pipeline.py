@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more; SimHash links, exactly checked, come first."""
     return one_of_each(docs)
 
 

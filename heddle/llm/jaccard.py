@@ -1,7 +1,9 @@
-"""Near-duplicate texts by the exact Jaccard similarity of their sets of shingle hashes.
+"""Near-duplicate texts: links that fingerprints propose, by the exact Jaccard similarity of their sets of shingle hashes.
 
 Texts with equal sets are one node. Only shingles that two nodes or more hold can make nodes similar, so the
-others are dropped once counted. Nodes that share one of the rarest shingles of each form a bucket, in which every
+others are dropped once counted. The caller's index of fingerprints comes first: each pair that it links is checked
+exactly and connects its nodes if it is similar. Fingerprints only estimate similarity, so similar pairs that are
+too far apart for them remain. Nodes that share one of the rarest shingles of each form a bucket, in which every
 similar pair has to be found:
 
 1. in each bucket the others are compared with one of it, the leader, some times over with another one. That costs in
@@ -45,17 +47,17 @@ def least(similarity: Fraction, n):
     return -(-similarity.numerator * n // similarity.denominator)
 
 
-def nodes_of(docs: DataFrame, shingles: Callable[[bytes], np.ndarray], carried: list[str], text_col: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
-    """The carried columns (longs), the node and its size (number of shingles) of every row."""
+def nodes_of(docs: DataFrame, shingles: Callable[[bytes], np.ndarray], signed: Callable[[np.ndarray], int], carried: list[str], text_col: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
+    """The carried columns (longs), the node, its fingerprint f0 (``signed`` of its set) and its size (number of shingles) of every row."""
     columns = [F.col(c).cast("long").alias(c) for c in carried]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", slice_bytes):
             sets = [np.unique(shingles(t)) for t in utf8(piece.column("text"))]
-            found = [pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in carried), *found], names=[*carried, "node", "n"])
+            found = [pa.array(map(node_of, sets), pa.int64()), pa.array(map(signed, sets), pa.int64()), pa.array(map(len, sets), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in carried), *found], names=[*carried, "node", "f0", "n"])
 
-    return in_arrow(docs.select(*columns, F.col(f"`{text_col}`").cast("string").alias("text")), scan, ", ".join(f"{c} long" for c in [*carried, "node"]) + ", n int")
+    return in_arrow(docs.select(*columns, F.col(f"`{text_col}`").cast("string").alias("text")), scan, ", ".join(f"{c} long" for c in [*carried, "node", "f0"]) + ", n int")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -311,24 +313,37 @@ def in_cells(sets: DataFrame, parts: DataFrame, candidates: DataFrame, similarit
     return in_arrow(cells.repartition("cell"), compare, "a long, b long")
 
 
-def verified_links(sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """Links (a, b) of similar nodes that connect all which similar pairs connect."""
+def verified_links(sets: DataFrame, proposed: DataFrame, similarity: Fraction) -> DataFrame:
+    """Links (a, b) of similar nodes that connect all which similar pairs connect; the ``proposed`` pairs (a, b) of these sets are checked first."""
     buckets = written(prefixes(sets, similarity), "buckets")
-    parted, links, parts = buckets.withColumn("part", F.col("node")), None, None
-    for seed in range(LEADERS):
-        found = written(led(sets, leader_links(parted, similarity, seed), similarity), "led")
-        links = found if links is None else links.unionByName(found)
+    links = written(led(sets, proposed, similarity), "led")
+    for seed in range(LEADERS + 1):
         parts = components(links).withColumnRenamed("root", "part")
         parted = buckets.join(parts, "node", "left").select("hash", "node", "n", F.coalesce("part", "node").alias("part"))
+        if seed < LEADERS:
+            links = links.unionByName(written(led(sets, leader_links(parted, similarity, seed), similarity), "led"))
     rest = in_cells(sets, parts, chain_links(parted, similarity), similarity)
     return links.unionByName(rest)
 
 
-def linked(docs: DataFrame, shingles: Callable[[bytes], np.ndarray], similarity: Fraction, carried: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows (carried columns, node), and node -> root of the nodes that similar pairs connect to others."""
-    rows = written(nodes_of(docs, shingles, list(carried), text_col), "nodes")
+def linked(
+    docs: DataFrame,
+    shingles: Callable[[bytes], np.ndarray],
+    signed: Callable[[np.ndarray], int],
+    near: Callable[[DataFrame], DataFrame],
+    similarity: Fraction,
+    carried: tuple[str, ...] = ("doc_id",),
+    text_col: str = "text",
+) -> tuple[DataFrame, DataFrame]:
+    """The rows (carried columns, node), and node -> root of the nodes that similar pairs connect to others.
+
+    ``signed`` makes the fingerprint of a set; ``near`` proposes pairs (a, b) of rows (node, f0), one for each set.
+    """
+    rows = written(nodes_of(docs, shingles, signed, list(carried), text_col), "nodes")
     sets = written(shared_sets(docs, rows, shingles, similarity, text_col), "sets")
-    return rows, components(verified_links(sets, similarity))
+    # nodes whose shingles no other holds are similar to none, so they are not asked for
+    prints = rows.select("node", "f0").distinct().join(sets.select("node"), "node", "left_semi")
+    return rows, components(verified_links(sets, near(prints), similarity))
 
 
 def _named(rows: DataFrame, roots: DataFrame, first) -> DataFrame:
@@ -344,8 +359,7 @@ def grouped(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(named.join(heads, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
-def heads(docs: DataFrame, digest: str, shingles: Callable[[bytes], np.ndarray], similarity: Fraction, text_col: str) -> DataFrame:
-    """doc_id and the digest of the row that stands for each group: the least of both."""
-    rows, roots = linked(docs, shingles, similarity, ("doc_id", digest), text_col)
+def heads(rows: DataFrame, roots: DataFrame, digest: str) -> DataFrame:
+    """doc_id and the digest of the row (doc_id, digest, node) that stands for each group: the least of both."""
     named = _named(rows, roots, F.min(F.struct("doc_id", digest)))
     return named.groupBy("root").agg(F.min("first").alias("first")).select("first.*")

@@ -52,8 +52,12 @@ def mixed(h: np.ndarray, word: int) -> np.ndarray:
 
 
 def fingerprint(data: bytes, size: int, words: int) -> np.ndarray:
-    """Each bit is 1 if it is set in over half of the shingles' hashes; no words: zero."""
-    hashes = shingle_hashes(data, size)
+    """The fingerprint of a text's shingles; no words: zero."""
+    return voted(shingle_hashes(data, size), words)
+
+
+def voted(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Each bit is 1 if it is set in over half of the hashes."""
     out = np.zeros(words, dtype=np.uint64)
     for w in range(words if len(hashes) else 0):
         votes = np.zeros(64, dtype=np.int64)
@@ -255,6 +259,11 @@ def blocks_for(rows: int, most: int) -> int:
     return blocks
 
 
+def within(nodes: DataFrame, most: int) -> DataFrame:
+    """Links (a, b) that connect all fingerprints (rep, f0; no two equal) that differ in ``most`` bits or fewer, and only such."""
+    return near_links(nodes, block_keys(blocks_for(nodes.count(), most), most), most, 1)
+
+
 def groups(docs: DataFrame, size: int = 3, most: int = 3) -> DataFrame:
     """doc_id, f0, component_id of every row; rows link at ``most`` differing bits or fewer.
 
@@ -266,8 +275,7 @@ def groups(docs: DataFrame, size: int = 3, most: int = 3) -> DataFrame:
     names = ["f0"]
     prints = written(fingerprints(docs, size), "prints")
     nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "nodes")
-    keys = block_keys(blocks_for(nodes.count(), most), most)
-    found = components(near_links(nodes.where("rep is not null"), keys, most, 1))
+    found = components(within(nodes.where("rep is not null"), most))
     named = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
     named = written(named, "named")
     return prints.join(named, names, "left").select("doc_id", *names, "component_id")
@@ -279,22 +287,44 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Shingle size and least similarity of near-duplicates.
-SHINGLE, BOUND = 5, Fraction(4, 5)
+#: Shingle size and least similarity of near-duplicates, and the bits in which fingerprints may differ that link at first.
+SHINGLE, BOUND, MOST = 5, Fraction(4, 5), 3
 
 
 def _five_words(data: bytes) -> np.ndarray:
     return shingle_hashes(data, SHINGLE)
 
 
+def _signed(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of a set of hashes, as a signed long."""
+    return int(voted(hashes, 1).view(np.int64)[0])
+
+
+def proposed(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, f0) whose fingerprints are equal or linked by the Gray index at MOST bits or fewer.
+
+    As in groups(), one node stands for all of its fingerprint; a is the one that stands for more.
+    """
+    prints = written(prints, "prints")
+    standing = written(prints.groupBy("f0").agg(F.min("node").alias("rep")), "standing")
+    equal = prints.join(standing, "f0").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    near = within(standing, MOST).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return equal.unionByName(near.distinct())
+
+
+def _linked(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    return jaccard.linked(docs, _five_words, _signed, proposed, BOUND, carried, text_col)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and component_id; rows whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-    The links are exact but for equal 64-bit hashes: no similar pair is lost and none below the bound links.
+    Fingerprints of these sets link first, at three bits or fewer, and each of their links is checked exactly; similar pairs
+    that are further apart are found by their rarest shingles. The links are exact but for equal 64-bit hashes: no similar pair is lost and none below the bound links.
     Groups are transitive. A null text counts as empty; texts without words are copies of each other; repeated
     rows come back each; a null doc_id is kept and has component null if only such rows are in its group.
     """
-    return jaccard.grouped(*jaccard.linked(docs, _five_words, BOUND))
+    return jaccard.grouped(*_linked(docs))
 
 
 def one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -308,7 +338,7 @@ def one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
     columns = docs.columns
     digest, row = "__row", F.xxhash64(*(F.col(f"`{c}`") for c in columns))
     known = docs.where("doc_id is not null").withColumn(digest, row)
-    heads = written(jaccard.heads(known, digest, _five_words, BOUND, text_col), "heads")
+    heads = written(jaccard.heads(*_linked(known, ("doc_id", digest), text_col), digest), "heads")
     # the heads grow with the documents, so they are never broadcast, however few they are
     kept = known.join(heads.hint("shuffle_hash"), ["doc_id", digest], "left_semi")
     # both steps are dealt by the same key, so equal rows that meet here were shuffled once

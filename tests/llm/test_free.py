@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -304,6 +305,36 @@ def test_near_duplicates_lose_no_pair(spark, monkeypatch):
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
 
 
+def set_print(text):
+    """The fingerprint of a set of five-word shingles, bit by bit."""
+    w = text.lower().encode().split()
+    hashes = [xxhash.xxh64_intdigest(b" ".join(x), 42) for x in {tuple(w[i : i + 5]) for i in range(len(w) - 4)}]
+    return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+
+@pytest.mark.parametrize("bound", [Fraction(4, 5), Fraction(97, 100)])
+def test_near_duplicates_by_fingerprints(spark, monkeypatch, bound):
+    """Without the search by rare shingles just the pairs stay linked whose fingerprints are near and that are similar; with it, all that are similar."""
+    monkeypatch.setattr(simhash, "BOUND", bound)
+    texts = []
+    for k in range(120):  # each pair is alone with its words
+        words = [f"p{k}x{i}" for i in range(400)]
+        texts += [" ".join(words), " ".join(words[: 400 - k % 40])]
+    pairs = list(zip(texts[::2], texts[1::2], strict=True))
+    near = [(set_print(a) ^ set_print(b)).bit_count() <= 3 for a, b in pairs]
+    alike = [Fraction(len(b.split()) - 4, len(a.split()) - 4) >= bound for a, b in pairs]
+    assert all(sum(n == x and a == y for n, a in zip(near, alike, strict=True)) > 5 for x, y in ((True, True), (False, True)))
+
+    def linked():
+        group = found_groups(spark, texts)
+        return [a == b for a, b in zip(group[::2], group[1::2], strict=True)]
+
+    assert linked() == alike
+    every = jaccard.prefixes
+    monkeypatch.setattr(jaccard, "prefixes", lambda sets, similarity: every(sets, similarity).where("false"))
+    assert linked() == [n and a for n, a in zip(near, alike, strict=True)]
+
+
 def test_large_group_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     texts = near_copies(18, 200, 12)
